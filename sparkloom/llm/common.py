@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,8 +38,17 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts make Arrow batches of the default 10,000 rows large; hand them to Python in smaller ones."""
+    """Before a stage in Python: long texts make Arrow batches of the default 10,000 rows large, so hand them over in
+    smaller ones; and send this package to the executors, once for each Spark context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    sent = spark.sparkContext.applicationId
+    if sent not in _LOCAL:
+        package = Path(__file__).parents[1]
+        with zipfile.ZipFile(archive := Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip", "w") as z:
+            for f in package.rglob("*.py"):
+                z.write(f, f.relative_to(package.parent))
+        spark.sparkContext.addPyFile(str(archive))
+        _LOCAL[sent] = str(archive)
 
 
 def text_bytes(column: str | Column) -> Column:
