@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+#: Bytes of an Arrow batch, about; one longer row makes a batch by itself.
+BATCH_BYTES = 16 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -41,6 +43,7 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Before a stage in Python: long texts make Arrow batches of the default 10,000 rows large, so hand them over in
     smaller ones; and send this package to the executors, once for each Spark context."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sent = spark.sparkContext.applicationId
     if sent not in _LOCAL:
         package = Path(__file__).parents[1]
