@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import arc, bpe, mixing, quality, simhash, token_count, toxicity
+from sparkloom.llm import arc, bpe, mixing, multi_index, quality, simhash, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +32,10 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES = {
     "op3_arc_to_warc": op3_arc_to_warc,
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
+    "op6_multi_index": op6_multi_index,
     "op8_simhash": op8_simhash,
     "op10_token_counts": op10_token_counts,
 }
