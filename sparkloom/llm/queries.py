@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import arc, bpe, mixing, multi_index, quality, simhash, token_count, toxicity
+from sparkloom.llm import arc, bpe, learned_partitions, mixing, multi_index, quality, simhash, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +36,11 @@ def op6_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multi_index.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.98)
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    return learned_partitions.search(rows, is_query=rows["vec_id"] % 100 == 0, k=10)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -51,6 +56,7 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_bpe": op5_bpe,
     "op6_multi_index": op6_multi_index,
+    "op7_learned_partitions": op7_learned_partitions,
     "op8_simhash": op8_simhash,
     "op10_token_counts": op10_token_counts,
 }
