@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import arc, bpe, learned_partitions, mixing, multi_index, quality, simhash, token_count, toxicity
+from sparkloom.llm import arc, bpe, learned_partitions, licenses, mixing, multi_index, quality, simhash, token_count, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), threshold=0.8)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
@@ -58,10 +62,12 @@ QUERIES = {
     "op6_multi_index": op6_multi_index,
     "op7_learned_partitions": op7_learned_partitions,
     "op8_simhash": op8_simhash,
+    "op9_licenses": op9_licenses,
     "op10_token_counts": op10_token_counts,
 }
 
 ORACLE_SQL = {
+    "op9_licenses": licenses.oracle_sql(threshold=0.8),
     "op1_mixing": r"""
         WITH docs AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
