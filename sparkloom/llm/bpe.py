@@ -11,29 +11,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_batches, text_bytes
-from sparkloom.llm.word_table import distinct_words, frequent, texts, word_tokenizer
+from sparkloom.llm.word_table import distinct_words, frequent, text_groups, word_tokenizer
 
 
-class _Ids(dict):
+class _Ids:
     """Ids of words as bytes: the broadcast table's, and those of rarer words once encoded in this task."""
 
     #: Rarer words held at once.
-    ROOM = 200_000
+    ROOM = 400_000
 
     def __init__(self, path: str, table: dict[str, bytes]) -> None:
-        super().__init__(table)
-        self._encode, self._room, self._table = word_tokenizer(path).encode_word, len(table) + self.ROOM, table
+        self._encode, self._table, self._rare = word_tokenizer(path).encode, table, {}
 
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= self._room:
-            self.clear()
-            self.update(self._table)
-        self[word] = ids = np.array(self._encode(word), dtype="<u4").tobytes()
-        return ids
+    def of(self, words: list[list[str]]) -> list[bytes]:
+        """Ids of each text's words, joined by position."""
+        known, rare = self._table, self._rare
+        absent = [w for w in set().union(*words).difference(known) if w not in rare]
+        if len(rare) + len(absent) > self.ROOM:
+            rare.clear()
+            absent = list(set().union(*words).difference(known))
+        rare.update(zip(absent, (np.array(x, dtype="<u4").tobytes() for x in self._encode(absent)), strict=True))
+        return [b"".join([known.get(w) or rare[w] for w in text]) for text in words]
 
 
 def _table(words: DataFrame, special: dict[str, int]) -> dict[str, bytes]:
-    rows = frequent(words).select("word", "ids").toArrow()
+    rows = frequent(words)[0].select("word", "ids").toArrow()
     ids = dict(zip(rows.column("word").to_pylist(), (np.array(x, dtype="<u4").tobytes() for x in rows.column("ids").to_pylist()), strict=True))
     return ids | {text: np.array([i], dtype="<u4").tobytes() for text, i in special.items()}
 
@@ -42,7 +44,7 @@ def _batches(path: str, table, make: Callable[[bytes], tuple], kinds: list[pa.Da
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split, ids = word_tokenizer(path).words, _Ids(path, table.value)
         for batch in batches:
-            made = [make(b"".join(map(ids.__getitem__, split(text)))) for text in texts(batch)]
+            made = [make(x) for group in text_groups(batch) for x in ids.of([split(text) for text in group])]
             columns = list(zip(*made, strict=True)) if made else [()] * len(kinds)
             arrays = [batch.column("row"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))]
             yield pa.RecordBatch.from_arrays(arrays, names=["row", *(f"c{k}" for k in range(len(kinds)))])

@@ -27,7 +27,7 @@ PLAIN = regex.compile("[\\x21-\\x7e \t\n\r\\xa1-\\xac\\xae-\\u012f\\u0132-\\u014
 #: A task's count of words is handed on once it holds so many distinct ones.
 HELD_WORDS = 500_000
 #: So many most frequent words, the bound of what is broadcast.
-FREQUENT_WORDS = 1 << 17
+FREQUENT_WORDS = 1 << 18
 
 
 class WordTokenizer:
@@ -78,6 +78,19 @@ def texts(batch: pa.RecordBatch, name: str = "_text") -> Iterator[str]:
     return (t.decode("utf-8", "replace") for t in batch.column(name).to_pylist())
 
 
+def text_groups(batch: pa.RecordBatch, size: int = 1 << 22) -> Iterator[list[str]]:
+    """The batch's texts in turn, in groups of about ``size`` characters, a longer text by itself."""
+    held, n = [], 0
+    for text in texts(batch):
+        held.append(text)
+        n += len(text)
+        if n >= size:
+            yield held
+            held, n = [], 0
+    if held:
+        yield held
+
+
 def _counter(path: str) -> Callable:
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = word_tokenizer(path).words
@@ -128,6 +141,18 @@ def distinct_word_pieces(docs: DataFrame, path: str) -> DataFrame:
     return _distinct(docs, path, ids=False)
 
 
-def frequent(words: DataFrame, size: int = FREQUENT_WORDS) -> DataFrame:
-    """The ``size`` most frequent words, ties by the word; a table of that bound, whatever the corpus."""
-    return words.orderBy(F.col("n").desc(), F.col("word")).limit(size)
+def frequent(words: DataFrame, size: int = FREQUENT_WORDS) -> tuple[DataFrame, int]:
+    """The most frequent words, ``size`` at most whatever the corpus, and the least occurrences that they have.
+
+    Words are counted by classes of their occurrences, sixteen to each doubling, and whole classes are taken from the top
+    while they fit; so no task sorts all words.
+    """
+    log = F.floor(F.log2("n") * 16)
+    classes = words.groupBy(log.alias("class")).agg(F.count("*").alias("words"), F.min("n").alias("n")).orderBy(F.col("class").desc()).collect()
+    fits, least = 0, 1 << 62
+    for row in classes:
+        fits += row["words"]
+        if fits > size:
+            break
+        least = row["n"]
+    return words.where(F.col("n") >= least), least
