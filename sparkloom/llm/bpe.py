@@ -98,14 +98,28 @@ def decode(rows: DataFrame, path: str, column: str = "ids") -> DataFrame:
     return made.select(*(F.col("row")[c].alias(c) for c in keep), "decoded")
 
 
-def digests(docs: DataFrame, path: str) -> DataFrame:
-    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document, encoded and decoded again."""
+_DIGESTS = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+
 
+def _digest(path: str) -> Callable[[bytes], tuple[int, str, str]]:
     def made(ids: bytes, cache: dict = {}) -> tuple[int, str, str]:  # noqa: B006  one decoder in each Python worker
         if path not in cache:
             cache[path] = decoder(path)
         text = cache[path](np.frombuffer(ids, "<u4"))
         return len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
-    columns = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
-    return _mapped(docs, path, ["doc_id"], made, columns)
+    return made
+
+
+def digests(docs: DataFrame, path: str) -> DataFrame:
+    """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document, encoded and decoded again.
+
+    The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8.
+    """
+    return _mapped(docs, path, ["doc_id"], _digest(path), _DIGESTS)
+
+
+def encoded_with_digests(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
+    """``keep``, the columns of :func:`digests`, and ``ids``."""
+    digest = _digest(path)
+    return _mapped(docs, path, keep, lambda ids: (*digest(ids), np.frombuffer(ids, "<i4")), _DIGESTS | {"ids": ("array<int>", pa.list_(pa.int32()))})
