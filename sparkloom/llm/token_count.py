@@ -52,17 +52,17 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, frequent_words:
     """
     spark = docs.sparkSession
     words = distinct_word_pieces(docs, path)
-    top = frequent(words, frequent_words).toArrow()
+    top, least = frequent(words, frequent_words)
+    top = top.select("word", "pieces").toArrow()
     table = dict(zip(top.column("word").to_pylist(), top.column("pieces").to_pylist(), strict=True))
     table |= dict.fromkeys(word_tokenizer(path).special, 1)
-    least = min(top.column("n").to_pylist(), default=0)
     bounded_batches(spark)
     text = text_bytes(docs["text"])
     row = F.struct(F.monotonically_increasing_id().alias("at"), docs["doc_id"].alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"))
     rows = docs.select(row.alias("_row"), text.alias("_text"))
     kind = rows.schema["_row"].dataType.simpleString()
     counts = rows.mapInArrow(_frequencies(path, spark.sparkContext.broadcast(table)), f"_row {kind}, _base long, _word string, _times long")
-    rare = words.where(F.col("n") <= least).select("word", "pieces")
+    rare = words.where(F.col("n") < least).select("word", "pieces")
     joined = counts.join(rare, F.col("_word") == F.col("word"), "left")
     total = F.sum(F.col("_base") + F.col("_times") * F.coalesce("pieces", F.lit(0)))
     found = joined.groupBy("_row.at", "_row.doc_id", "_row.n_bytes").agg(total.alias("n_tokens"))
