@@ -147,28 +147,31 @@ def arc_to_warc(archives: DataFrame) -> DataFrame:
     return archives.select("content").mapInArrow(_convert, RECORD_SCHEMA)
 
 
-def _pages_to_arc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    date, number = "20200101000000", itertools.count()
-    for batch in batches:
-        pages = iter(zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "_html")), strict=True))
-        for page in pages:
-            version, size = 1 + next(number) % 2, 0
-            parts = [version_block("pages.arc", date, version)]
-            for page_id, url, html in itertools.chain([page], pages):
-                own = f"X-Page-Id: {page_id}\r\n" if page_id is not None else ""
-                header = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n{own}\r\n"
-                parts.append(arc_record(url or "", "192.0.2.1", date, "text/html", header.encode() + html, version))
-                size += len(html)
-                if size >= SEGMENT_BYTES:
-                    break
-            yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
-
-
-def pages_to_arc(pages: DataFrame) -> DataFrame:
+def _segments(segment_bytes: int):
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        date, number = "20200101000000", itertools.count()
+        for batch in batches:
+            pages = iter(zip(*(batch.column(k).to_pylist() for k in ("page_id", "url", "_html")), strict=True))
+            for page in pages:
+                version, size = 1 + next(number) % 2, 0
+                parts = [version_block("pages.arc", date, version)]
+                for page_id, url, html in itertools.chain([page], pages):
+                    own = f"X-Page-Id: {page_id}\r\n" if page_id is not None else ""
+                    header = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n{own}\r\n"
+                    parts.append(arc_record(url or "", "192.0.2.1", date, "text/html", header.encode() + html, version))
+                    size += len(html)
+                    if size >= segment_bytes:
+                        break
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(parts)], pa.binary())], names=["content"])
+
+    return made
+
+
+def pages_to_arc(pages: DataFrame, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """``content``: ARC segments of both versions, one record for each page; a page's id goes into its HTTP header."""
     bounded_batches(pages.sparkSession)
     rows = pages.select(pages["page_id"].cast("string").alias("page_id"), pages["url"].cast("string").alias("url"), text_bytes(pages["html"]).alias("_html"))
-    return rows.mapInArrow(_pages_to_arc, "content binary")
+    return rows.mapInArrow(_segments(segment_bytes), "content binary")
 
 
 def page_id(http_header: Column) -> Column:

@@ -60,13 +60,17 @@ class Grid:
 
     def __init__(self, sample: np.ndarray, codewords: int, threshold: float, target: float = TARGET_RECALL, seed: int = 7) -> None:
         rng = np.random.default_rng(seed)
-        half = sample.shape[1] // 2
-        self.half, self.codewords = half, max(1, min(codewords, len(sample)))
-        self.books = [codebook(part, self.codewords, rng) for part in (sample[:, :half], sample[:, half:])]
+        self.codewords = max(1, min(codewords, len(sample)))
+        self.books = [codebook(part, self.codewords, rng) for part in self._halves(sample)]
         self.visits = self._enough(sample[:2000], threshold, target, rng)
 
+    @staticmethod
+    def _halves(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        half = vectors.shape[1] // 2
+        return (vectors[:, :half], vectors[:, half:]) if half else (vectors, vectors)
+
     def _distances(self, vectors: np.ndarray) -> list[np.ndarray]:
-        return [squares(part, book) for part, book in zip((vectors[:, : self.half], vectors[:, self.half :]), self.books, strict=True)]
+        return [squares(part, book) for part, book in zip(self._halves(vectors), self.books, strict=True)]
 
     def home(self, vectors: np.ndarray) -> np.ndarray:
         first, second = (d.argmin(axis=1) for d in self._distances(vectors))
@@ -91,7 +95,8 @@ class Grid:
         on neighbours made at that very distance."""
         aside = rng.standard_normal(sample.shape)
         aside -= (aside * sample).sum(axis=1, keepdims=True) * sample
-        others = threshold * sample + np.sqrt(1 - threshold**2) * unit(aside)
+        size = np.linalg.norm(aside, axis=1, keepdims=True)  # 0 in one dimension, where nothing is aside
+        others = threshold * sample + np.sqrt(1 - threshold**2) * aside / np.where(size > 0, size, 1.0)
         homes = self.home(sample), self.home(others)
         n = 1
         while n < self.codewords**2:
@@ -129,7 +134,7 @@ def fitted_grids(vectors: DataFrame, threshold: float) -> dict[int, Grid]:
         sample = unit(np.array(rows.select("embedding").limit(2 * SAMPLE).toArrow().column(0).to_pylist()).reshape(-1, dim))
         sample = sample[np.lexsort(sample.T[:4])]
         codewords = int(np.clip(np.sqrt(n / PER_CELL), 1, MOST_CODEWORDS))
-        grids[dim] = Grid(sample if dim > 1 else np.concatenate((sample, sample), axis=1), codewords, threshold)
+        grids[dim] = Grid(sample, codewords, threshold)
     return grids
 
 
