@@ -39,7 +39,7 @@ DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7":
 WORD = regex.compile(r"[^\W\d_]+")
 CAPITALS = regex.compile(r"\b[A-Z]{2,}\b")
 #: Letters with digits or signs between them, and single letters with signs or blanks between.
-OBFUSCATED = regex.compile(r"(?<!\w)(?:[^\W\d_]+[0134578@$!|*]+(?=[^\W_])[\w@$!|*]*|(?:[^\W\d_][.\-_* ]){3,}[^\W\d_])(?![\w])")
+OBFUSCATED = regex.compile(r"(?<!\w)(?:[0134578@$]?[^\W\d_]+[0134578@$!|*]+(?=[^\W_])[\w@$!|*]*|(?:[^\W\d_][.\-_* ]){3,}[^\W\d_])(?![\w])")
 FEATURES = (
     "insults per 100 words", "log insults", "learnt words per 100 words", "log learnt words", "largest learnt weight", "log summed learnt weight",
     "share of lexicon words near a second-person word", "second-person words per 100 words", "share of capitals", "words in capitals per 100 words",
@@ -55,7 +55,7 @@ def terms(word: str) -> list[str]:
 class Lexicon(dict):
     """Weight of each word seen by this worker: that of its strongest term, 0 for none; forgets all when it grows large."""
 
-    ROOM = 1_000_000
+    ROOM = 300_000
 
     def __init__(self, weights: dict[str, float]) -> None:
         super().__init__()
@@ -69,7 +69,7 @@ class Lexicon(dict):
 
 
 def plain(token: str) -> str:
-    return token.lower().replace(" ", "").translate(DISGUISE)
+    return token.lower().rstrip("!|*@$").replace(" ", "").translate(DISGUISE)
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
