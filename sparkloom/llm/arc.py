@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_batches, new_path, text_bytes, written
+from sparkloom.llm.common import bounded_batches, new_path, text_bytes, tracked, written
 
 #: The fields of a record's header line in either version, the last one the length.
 ARC_FIELDS = {
@@ -268,7 +268,7 @@ def archived_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
     page_id comes last. An empty table gives an empty table. Other columns of ``pages`` are not read.
     """
     spark = pages.sparkSession
-    path = new_path(spark, "warc")
+    path = tracked(new_path(spark, "warc"))
     records = arc_to_warc(pages_to_arc(pages))
     write_warc(mark_revisits(records, page_id(F.col("http_header")), min_bytes), path)
     read = read_warc(spark, path, ["record_id", "record_type", "http_header", "payload_bytes", "payload_digest", "refers_to"])

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
+_WRITTEN: list[str] = []
 #: Bytes of an Arrow batch, about; one longer row makes a batch by itself.
 BATCH_BYTES = 16 << 20
 
@@ -31,12 +32,40 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
+def tracked(path: str) -> str:
+    """A path that :func:`clear` is to remove."""
+    _WRITTEN.append(path)
+    return path
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder: computed once, and safe when executors are lost."""
+    """``df`` as a Parquet table in the shared folder: computed once, and safe when executors are lost.
+
+    The table stays until :func:`clear`, since results that Spark computes later read it.
+    """
     spark = df.sparkSession
-    path = new_path(spark, name)
+    path = tracked(new_path(spark, name))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._sparkloom_path = path
+    return found
+
+
+def forget(df: DataFrame) -> None:
+    """Removes a table of :func:`written` that no later result reads."""
+    _remove(df.sparkSession, df._sparkloom_path)
+    _WRITTEN.remove(df._sparkloom_path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all tables that operators wrote to the shared folder; results that were not stored elsewhere are lost."""
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:

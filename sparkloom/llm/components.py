@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import forget, written
 
 
 def _with_least(rows: DataFrame, node: str, neighbour: str) -> DataFrame:
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame, left: str = "a", right: str = "b", ro
         large = _with_least(both, "u", "v").where("v > u").select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
         joined = _with_least(large, "u", "v")
         small = joined.select(F.explode(F.array(F.struct(F.col("u"), F.col("_m").alias("v")), F.struct(F.col("v").alias("u"), F.col("_m").alias("v")))).alias("e"))
-        edges = written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        last, edges = edges, written(small.select("e.u", "e.v").where("u != v").distinct(), "edges")
+        forget(last)
         before, state = state, _state(edges)
         if state == before:
             break

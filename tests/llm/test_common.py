@@ -41,3 +41,16 @@ def test_components_of_random_edges(spark, seed):
         for a, b in edges:
             own[a] = own[b] = min(own[a], own[b])
     assert components(spark, edges) == {k: own[k] for a, b in edges if a != b for k in (a, b)}
+
+
+def test_written_tables_can_be_removed(spark):
+    from sparkloom.llm import common
+
+    one, two = (common.written(spark.range(n), "t") for n in (3, 5))
+    assert common.shared_folder(spark) == spark.conf.get("spark.checkpoint.dir") and one.count() == 3
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(one._sparkloom_path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    common.forget(one)
+    assert not fs.exists(folder) and two.count() == 5
+    common.clear(spark)
+    assert not common._WRITTEN and not fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(two._sparkloom_path))
