@@ -26,7 +26,7 @@ SCALE = 8.0
 #: Of follow-the-regularised-leader (McMahan et al., KDD 2013), and how often it passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.02, 0.02, 4
 #: Texts are hashed so many bytes at a time; longer ones in windows of this size, cut at a blank where there is one.
-WINDOW = 1 << 20
+WINDOW = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -138,9 +138,9 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
     def weights(i) -> np.ndarray:
         return np.where(np.abs(z[i]) <= L1, 0.0, -(z[i] - np.sign(z[i]) * L1) / ((BETA + np.sqrt(n[i])) / ALPHA + L2))
 
-    rows = [(y, np.append(i, BUCKETS), np.append(x, 1.0)) for y, i, x in rows]
     for _ in range(PASSES):
-        for y, i, x in rows:
+        for y, buckets, values in rows:
+            i, x = np.append(buckets, BUCKETS), np.append(values, 1.0)
             w = weights(i)
             p = 1 / (1 + np.exp(-np.clip(w @ x, -35, 35)))
             g = (p - y) * x
@@ -151,10 +151,14 @@ def ftrl(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> np.ndarray:
 
 def _trained(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held = []
-    for batch in rows:
-        held += zip(*(batch.column(k).to_pylist() for k in ("order", "label", "bucket", "value")), strict=True)
+    for batch in rows:  # as arrays: lists of numbers would take ten times the room
+        ends = batch.column("bucket").offsets.to_numpy()
+        buckets, values = (batch.column(k).values.to_numpy() for k in ("bucket", "value"))
+        for k, (order, label) in enumerate(zip(batch.column("order").to_pylist(), batch.column("label").to_pylist(), strict=True)):
+            some = slice(ends[k], ends[k + 1])
+            held.append((order, label, buckets[some].copy(), values[some].copy()))
     held.sort(key=lambda r: r[0])
-    weights = ftrl([(y, np.array(i, dtype=np.int64), np.array(x)) for _, y, i, x in held])
+    weights = ftrl([r[1:] for r in held])
     used = np.flatnonzero(weights)
     yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(weights[used])], names=["bucket", "weight"])
 
