@@ -31,8 +31,8 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", word_count(text).alias("size"), ticket(F.col("doc_id"), text).alias("ticket"))
 
 
-def targets(rows: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
-    """``source, source_size, target``: all words shared by weight, none above ``cap`` times its source's size.
+def targets(rows: DataFrame, weights: Sequence[int], cap: int, share: float = 1) -> DataFrame:
+    """``source, source_size, target``: ``share`` of all words dealt by weight, none above ``cap`` times its source's size.
 
     Sources reach their cap in the order of cap / weight, so the share of the others is known at each step from running
     sums over the (few) sources.
@@ -45,7 +45,7 @@ def targets(rows: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     before = by_reach.rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.partitionBy()
     sizes = (
-        sizes.withColumn("_left", F.sum("source_size").over(everywhere) - F.coalesce(F.sum("_full").over(before), F.lit(0)))
+        sizes.withColumn("_left", F.sum("source_size").over(everywhere) * share - F.coalesce(F.sum("_full").over(before), F.lit(0)))
         .withColumn("_weights", F.sum("_w").over(everywhere) - F.coalesce(F.sum("_w").over(before), F.lit(0)))
         .withColumn("_capped", F.col("_full") * F.col("_weights") <= F.col("_left") * F.col("_w"))
     )
@@ -55,7 +55,7 @@ def targets(rows: DataFrame, weights: Sequence[int], cap: int) -> DataFrame:
     return sizes.select("source", "source_size", F.least(F.col("_full").cast("double"), share).alias("target"))
 
 
-def mixing_plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
+def mixing_plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, share: float = 1) -> DataFrame:
     """``source, source_size, target, whole, cut``: a document is taken ``whole`` times, once more if its ticket is under ``cut``.
 
     ``rows`` are those of :func:`sized`. Each level sums words by source and the next bits of the ticket, finds the
@@ -63,7 +63,7 @@ def mixing_plan(rows: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int =
     on the target, so a smaller target takes a subset of what a larger one takes, and reruns agree. Documents with equal
     tickets are taken together; the last one is left out where that comes nearer to the target.
     """
-    plan = targets(rows, weights, cap)
+    plan = targets(rows, weights, cap, share)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = plan.withColumn("whole", whole.cast("int"))
     plan = plan.withColumn("_rest", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -99,20 +99,21 @@ def copies() -> Column:
     return F.col("whole") + (F.col("ticket") < F.col("cut")).cast("int")
 
 
-def mix_sizes(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
+def mix_sizes(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, share: float = 1) -> DataFrame:
     """``doc_id, size, source_size, target, taken`` of every document.
 
-    Sources weigh ``weights``, repeating, in the order of their code points, null last. Null and blank texts have size 0.
+    The mix takes ``share`` of all words. Sources weigh ``weights``, repeating, in the order of their code points, null
+    last. A smaller share takes no document more often than a larger one does. Null and blank texts have size 0.
     Repeated rows each count. An empty table gives an empty table. Other columns of ``docs`` are not read.
     """
     rows = written(sized(docs), "mix-sizes")
-    plan = mixing_plan(rows, weights, cap).withColumnRenamed("source", "_source")
+    plan = mixing_plan(rows, weights, cap, share).withColumnRenamed("source", "_source")
     return _by_source(rows, plan).select("doc_id", "size", "source_size", "target", (F.col("size") * copies()).alias("taken"))
 
 
-def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, share: float = 1) -> DataFrame:
     """The documents of the mix, all columns as they are, a document that is taken k times k times."""
-    plan = mixing_plan(written(sized(docs), "mix-sizes"), weights, cap)
+    plan = mixing_plan(written(sized(docs), "mix-sizes"), weights, cap, share)
     plan = plan.select(F.col("source").alias("_mix_source"), F.struct("whole", "cut").alias("_mix_plan"))
     rows = docs.join(F.broadcast(plan) if _few(plan) else plan, docs["source"].eqNullSafe(F.col("_mix_source")))
     often = F.col("_mix_plan.whole") + (ticket(docs["doc_id"], docs["text"].cast("string")) < F.col("_mix_plan.cut")).cast("int")

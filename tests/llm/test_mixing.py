@@ -49,10 +49,11 @@ def test_reruns_and_other_partitions_agree(many):
     assert sorted(mixing.mix_sizes(many).collect()) == sorted(mixing.mix_sizes(many.repartition(7)).collect())
 
 
-def test_a_smaller_target_takes_a_subset(many):
-    rows = mixing.sized(many)
-    cuts = [{r["source"]: (r["whole"], r["cut"]) for r in mixing.mixing_plan(rows, w).collect()} for w in ((5, 2, 1), (1, 1, 1))]
-    assert all((a <= b) == (a == b or a < b) for a, b in ((cuts[0][s], cuts[1][s]) for s in cuts[0]))  # (copies, cut) are ordered, so one mix holds the other
+def test_a_smaller_share_takes_a_subset(many):
+    taken = [{r["doc_id"]: r["taken"] for r in mixing.mix_sizes(many, share=share).collect()} for share in (0.2, 0.7, 1, 2.5)]
+    assert all(less[d] <= more[d] for less, more in zip(taken, taken[1:], strict=False) for d in less)
+    # one source is a single text of a tenth of all words, taken whole or not
+    assert [sum(t.values()) / sum(taken[2].values()) for t in taken] == pytest.approx([0.2, 0.7, 1.0, 2.5], abs=0.1)
 
 
 def test_mix_keeps_columns_and_repeats_rows(many, clashing):
