@@ -33,8 +33,8 @@ def neighbour_graph(points: np.ndarray, k: int = GRAPH_NEIGHBOURS) -> np.ndarray
     """Numbers of each point's k nearest others."""
     k = min(k, len(points) - 1)
     found = []
-    for at in range(0, len(points), 1024):
-        d = squares(points[at : at + 1024], points)
+    for at in range(0, len(points), 256):
+        d = squares(points[at : at + 256], points)
         d[np.arange(len(d)), np.arange(at, at + len(d))] = np.inf
         found.append(np.argpartition(d, k - 1, axis=1)[:, :k] if k else np.zeros((len(d), 0), dtype=int))
     return np.concatenate(found)
