@@ -2,12 +2,27 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import forget, written
 
 
+def local_roots(left: np.ndarray, right: np.ndarray, n: int) -> np.ndarray:
+    """For each of n numbers the smallest one that the pairs of ``left`` and ``right`` lead to, within one task."""
+    root = np.arange(n)
+    while True:
+        least = np.minimum(root[left], root[right])
+        new = root.copy()
+        np.minimum.at(new, left, least)
+        np.minimum.at(new, right, least)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new
+
+
 def _with_least(rows: DataFrame, node: str, neighbour: str) -> DataFrame:
     """Each row with the least of its node and the node's neighbours.
 

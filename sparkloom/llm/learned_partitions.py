@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_batches, whole_groups, written
-from sparkloom.llm.multi_index import _matrix, comparable, squares
+from sparkloom.llm.multi_index import comparable, matrix, squares
 
 #: Vectors that the parts and the classifier are fitted to, about, taken by a hash; and neighbours in their graph.
 SAMPLE, GRAPH_NEIGHBOURS = 8192, 10
@@ -152,7 +152,7 @@ def _routed(router, visits: int | None) -> Callable:
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = router.value.order(_matrix(batch.column("embedding")).astype(np.float64))[:, : visits or 1]
+            order = router.value.order(matrix(batch.column("embedding")).astype(np.float64))[:, : visits or 1]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
 
     return routed
@@ -165,7 +165,7 @@ def _trial(queries) -> Callable:
         own, points, k = queries.value
         for batch in batches:
             node, part = batch.column("node").to_numpy(), batch.column("part").to_numpy()
-            found = nearest(points, own, _matrix(batch.column("embedding")).astype(np.float64), node, node, k)
+            found = nearest(points, own, matrix(batch.column("embedding")).astype(np.float64), node, node, k)
             for q, (rows, distance) in zip(own, found, strict=True):
                 n = len(rows)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, q)), pa.array(node[rows]), pa.array(part[rows]), pa.array(distance)], names=["query", "node", "part", "score"])
@@ -186,7 +186,7 @@ def _ranked(k: int) -> Callable:
                 asks, rows = a + np.flatnonzero(is_query[a:b]), a + np.flatnonzero(~is_query[a:b])
                 if not len(asks) or not len(rows):
                     continue
-                query, point = (_matrix(vectors.take(pa.array(x))).astype(np.float64) for x in (asks, rows))
+                query, point = (matrix(vectors.take(pa.array(x))).astype(np.float64) for x in (asks, rows))
                 found = list(nearest(query, node[asks], point, node[rows], order_ids[rows], k))
                 n = [len(best) for best, _ in found]
                 at = rows[np.concatenate([best for best, _ in found])]

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_batches, whole_groups, written
-from sparkloom.llm.components import connected_components
+from sparkloom.llm.components import connected_components, local_roots
 
 #: The codebooks are fitted to about so many vectors, taken by a hash; one codeword in a half for so many in its square.
 SAMPLE, PER_CELL, MOST_CODEWORDS = 20_000, 32, 512
@@ -107,7 +107,7 @@ class Grid:
         return min(n, self.codewords**2)
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one length as a matrix."""
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
@@ -118,7 +118,7 @@ def _coder(grids) -> Callable:
             dims = batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 rows = batch.filter(pa.array(dims == dim))
-                cells = grids.value[int(dim)].nearest(unit(_matrix(rows.column("embedding"))))
+                cells = grids.value[int(dim)].nearest(unit(matrix(rows.column("embedding"))))
                 visits = pa.array(list(cells.astype(np.int32)), pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cells[:, 0].astype(np.int32)), visits], names=[*rows.schema.names, "home", "visits"])
 
@@ -162,29 +162,20 @@ def _met(listed: np.ndarray, guests: np.ndarray, columns: dict, plain: dict, thr
     """Nodes with links among the guests and the vectors listed in a cell's block; links that are counted here; the
     smallest node that each is linked to here over any number of steps."""
     node, copies, home = plain["node"], plain["copies"], plain["home"]
-    vectors = [unit(_matrix(columns["embedding"].take(pa.array(x)))) for x in (guests, listed)]
+    vectors = [unit(matrix(columns["embedding"].take(pa.array(x)))) for x in (guests, listed)]
     g, m = np.nonzero(vectors[0] @ vectors[1].T >= threshold)
     g, m = guests[g], listed[m]
     g, m = g[node[g] != node[m]], m[node[g] != node[m]]
     if not len(g):
         return node[:0], copies[:0], node[:0]
     # a guest counts its links; a listed vector counts those to guests whose home it does not visit itself
-    visits = _matrix(columns["visits"].take(pa.array(listed)))
+    visits = matrix(columns["visits"].take(pa.array(listed)))
     unmet = ~(visits[np.searchsorted(listed, m)] == home[g][:, None]).any(axis=1)
     who = np.concatenate((node[g], node[m]))
     count = np.concatenate((copies[m], np.where(unmet, copies[g], 0)))
     nodes, at = np.unique(who, return_inverse=True)
     links = np.bincount(at, count, minlength=len(nodes)).astype(np.int64)
-    left, right, root = at[: len(g)], at[len(g) :], np.arange(len(nodes))
-    while True:
-        least = np.minimum(root[left], root[right])
-        new = root.copy()
-        np.minimum.at(new, left, least)
-        np.minimum.at(new, right, least)
-        new = new[new]
-        if (new == root).all():
-            return nodes, links, nodes[root]
-        root = new
+    return nodes, links, nodes[local_roots(at[: len(g)], at[len(g) :], len(nodes))]
 
 
 def meetings(coded: DataFrame, block: int = BLOCK) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_batches, text_bytes, whole_groups, written
-from sparkloom.llm.components import connected_components
+from sparkloom.llm.components import connected_components, local_roots
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Children of a node of the index, and pairs of fingerprint and node that are looked at together.
@@ -130,21 +130,6 @@ def _nodes(fp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[n
     return [tuple(x) for x in levels]
 
 
-def _unsettled(pairs: list[np.ndarray], n: int) -> np.ndarray:
-    """For each of n rows the smallest row that the pairs lead to."""
-    label = np.arange(n)
-    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
-    while True:
-        least = np.minimum(label[a], label[b])
-        new = label.copy()
-        np.minimum.at(new, a, least)
-        np.minimum.at(new, b, least)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
 def search(fp: np.ndarray, bucket: np.ndarray, max_bits: int = MAX_BITS) -> tuple[np.ndarray, np.ndarray]:
     """Edges among fingerprints of equal ``bucket`` that differ in ``max_bits`` at most: each linked one and the first of
     those it is linked to over any number of steps. The arrays are sorted by bucket, then by Gray rank."""
@@ -156,9 +141,9 @@ def search(fp: np.ndarray, bucket: np.ndarray, max_bits: int = MAX_BITS) -> tupl
     pairs = list(_descend(fp, *start, levels, len(levels) - 1, max_bits))
     if not pairs:
         return fp[:0], fp[:0]
-    label = _unsettled(pairs, len(fp))
-    linked = np.flatnonzero(label != np.arange(len(fp)))
-    return fp[linked], fp[label[linked]]
+    root = local_roots(*(np.concatenate(x) for x in zip(*pairs, strict=True)), len(fp))
+    linked = np.flatnonzero(root != np.arange(len(fp)))
+    return fp[linked], fp[root[linked]]
 
 
 def _descend(fp, query, node, differ, levels, depth, max_bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
