@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_batches, text_bytes, written
+from sparkloom.llm.common import bounded_batches, text_bytes
 from sparkloom.llm.quality import in_fold, labelled_ids
 
 #: At most about so many labelled documents are learnt from, taken by a hash of their ids, and so many learnt terms kept.
@@ -121,7 +121,7 @@ def learnt_lexicons(sample: DataFrame) -> list[dict[str, float]]:
     odds ratio. ``sample`` has ``_text``, ``label`` and ``part``.
     """
     counts = sample.select("_text", "label", "part").mapInArrow(_term_counts, "term string, " + ", ".join(f"{c} long" for c in _COUNTS))
-    counts = written(counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in _COUNTS)), "toxicity-terms")
+    counts = counts.groupBy("term").agg(*(F.sum(c).alias(c) for c in _COUNTS)).persist()
     total = counts.where("term = ''").first()
     lexicons = []
     for halves in ((0,), (1,), (0, 1)):
@@ -135,6 +135,7 @@ def learnt_lexicons(sample: DataFrame) -> list[dict[str, float]]:
         weight = ratio - 1.64 * F.sqrt(1 / t + 1 / c)
         best = counts.where(F.col("term") != "").where(toxic >= 3).select("term", weight.alias("weight")).where("weight > 1")
         lexicons.append({r["term"]: r["weight"] for r in best.orderBy(F.col("weight").desc(), "term").limit(TERMS).collect()})
+    counts.unpersist()
     return lexicons
 
 
@@ -192,7 +193,8 @@ def _stepped(p, boundaries: list[float], values: list[float]):
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, bound: int = TRAIN_ROWS) -> ToxicityModel:
     """From the labelled documents outside fold ``left_out``, a bounded sample: four fifths for the lexicon and the trees,
     a fifth for the calibration. Each half of the four fifths gets its features from the other half's lexicon, so the
-    trees are not fitted to words that a lexicon holds by chance.
+    trees are not fitted to words that a lexicon holds by chance. The sample is small, so it is kept in the executors; if
+    one is lost, Spark makes its part anew.
 
     Where the sample lacks one label, every text scores the share of label 1, or 0 without any labels.
     """
@@ -200,13 +202,21 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1,
     bounded_batches(spark)
     ids = labelled_ids(labels, "toxic", folds, left_out, bound)
     sample = docs.select(docs["doc_id"].alias("_doc"), text_bytes(docs["text"]).alias("_text")).join(F.broadcast(ids), F.col("_doc") == F.col("_id"))
-    sample = written(sample.select("_text", "label", F.pmod(F.xxhash64(F.lit("part"), "order"), F.lit(5)).alias("part")), "toxicity-sample")
+    sample = sample.select("_text", "label", F.pmod(F.xxhash64(F.lit("part"), "order"), F.lit(5)).alias("part")).persist()
     lexicons = learnt_lexicons(sample.where("part < 4"))
     weights = lexicons[2]
     other = F.when(F.col("part") < 2, 1).when(F.col("part") < 4, 0).otherwise(2)
     rows = sample.select(F.struct("label", "part").alias("_row"), "_text", other.alias("_lexicon"))
     made = rows.mapInArrow(_featured(spark.sparkContext.broadcast(lexicons)), "_row struct<label:int,part:bigint>, _features array<double>")
-    made = written(made.select("_row.label", "_row.part", "_features"), "toxicity-features")
+    made = made.select("_row.label", "_row.part", "_features").persist()
+    model = _fitted(made, weights)
+    made.unpersist()
+    sample.unpersist()
+    return model
+
+
+def _fitted(made: DataFrame, weights: dict[str, float]) -> ToxicityModel:
+    """Trees from parts 0 to 3 and calibration from part 4 of ``label, part, _features``."""
     fit, held = made.where("part < 4"), made.where("part = 4")
     shares = [r.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("ones")).first() for r in (fit, held)]
     n, ones = sum(r["n"] for r in shares), sum(r["ones"] for r in shares)
