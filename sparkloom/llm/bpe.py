@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_batches, text_bytes
+from sparkloom.llm.common import bounded_batches, carried, own, restored, text_bytes
 from sparkloom.llm.word_table import distinct_words, frequent, text_groups, word_tokenizer
 
 
@@ -61,10 +61,10 @@ def _mapped(docs: DataFrame, path: str, keep: list[str], make: Callable[[bytes],
     spark = docs.sparkSession
     table = spark.sparkContext.broadcast(_table(distinct_words(docs, path), word_tokenizer(path).special))
     bounded_batches(spark)
-    rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("row"), text_bytes(docs["text"]).alias("_text"))
+    rows = docs.select(carried(docs, keep).alias("row"), text_bytes(docs["text"]).alias("_text"))
     kinds = ", ".join(f"c{k} {kind}" for k, (kind, _) in enumerate(columns.values()))
     made = rows.mapInArrow(_batches(path, table, make, [k for _, k in columns.values()]), f"row {rows.schema['row'].dataType.simpleString()}, {kinds}")
-    return made.select(*(F.col("row")[c].alias(c) for c in keep), *(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))
+    return made.select(*restored("row", keep), *(F.col(f"c{k}").alias(c) for k, c in enumerate(columns)))
 
 
 def encode(docs: DataFrame, path: str, keep: list[str] | None = None) -> DataFrame:
@@ -93,9 +93,9 @@ def decode(rows: DataFrame, path: str, column: str = "ids") -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(made, pa.string())], names=["row", "decoded"])
 
     keep = [c for c in rows.columns if c != "decoded"]
-    held = rows.select(F.struct(*(rows[c] for c in keep)).alias("row"), rows[column].cast("array<int>").alias("ids"))
+    held = rows.select(carried(rows, keep).alias("row"), own(rows, column).cast("array<int>").alias("ids"))
     made = held.mapInArrow(decoded, f"row {held.schema['row'].dataType.simpleString()}, decoded string")
-    return made.select(*(F.col("row")[c].alias(c) for c in keep), "decoded")
+    return made.select(*restored("row", keep), "decoded")
 
 
 _DIGESTS = {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}

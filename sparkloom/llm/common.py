@@ -83,6 +83,21 @@ def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
         _LOCAL[sent] = str(archive)
 
 
+def own(df: DataFrame, name: str) -> Column:
+    """The column of exactly this name, whatever signs it holds."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
+def carried(df: DataFrame, names: list[str]) -> Column:
+    """Columns as one struct, which a stage in Python hands through; inside they have names that clash with nothing."""
+    return F.struct(*(own(df, c).alias(f"c{k}") for k, c in enumerate(names)))
+
+
+def restored(struct: str, names: list[str]) -> list[Column]:
+    """The columns of :func:`carried` under their own names."""
+    return [F.col(f"{struct}.c{k}").alias(c) for k, c in enumerate(names)]
+
+
 def text_bytes(column: str | Column) -> Column:
     """UTF-8 of a text, null as empty."""
     column = F.col(column) if isinstance(column, str) else column

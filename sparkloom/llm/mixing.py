@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import written
+from sparkloom.llm.common import own, written
 
 #: A ticket has so many bits; each histogram level resolves BITS of them.
 TICKET_BITS, BITS = 48, 12
@@ -118,4 +118,4 @@ def mix(docs: DataFrame, weights: Sequence[int] = (5, 2, 1), cap: int = 3, share
     rows = docs.join(F.broadcast(plan) if _few(plan) else plan, docs["source"].eqNullSafe(F.col("_mix_source")))
     often = F.col("_mix_plan.whole") + (ticket(docs["doc_id"], docs["text"].cast("string")) < F.col("_mix_plan.cut")).cast("int")
     rows = rows.withColumn("_mix_copy", F.explode(F.sequence(F.lit(0), often)))
-    return rows.where("_mix_copy > 0").select(*(docs[c] for c in docs.columns))
+    return rows.where("_mix_copy > 0").select(*(own(docs, c) for c in docs.columns))

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_batches, text_bytes
+from sparkloom.llm.common import bounded_batches, carried, restored, text_bytes
 
 #: Buckets of n-grams; one more weight is the bias.
 BUCKETS = 1 << 18
@@ -215,10 +215,10 @@ def _scorer(weights) -> Callable:
 
 
 def scored(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
-    """``_row``, a struct of the columns ``keep``, and ``_score`` of every whole text; null texts score as empty ones."""
+    """``_row``, the carried columns ``keep``, and ``_score`` of every whole text; null texts score as empty ones."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("_row"), text_bytes(docs["text"]).alias("_text"))
+    rows = docs.select(carried(docs, keep).alias("_row"), text_bytes(docs["text"]).alias("_text"))
     model = spark.sparkContext.broadcast(weights)
     return rows.mapInArrow(_scorer(model), f"_row {rows.schema['_row'].dataType.simpleString()}, _score double")
 
@@ -230,11 +230,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
     empty table; a null doc_id is not held out. Other columns of ``docs`` are not read.
     """
     found = scored(docs, train(docs, labels, "quality", folds, left_out), ["doc_id"])
-    held_out = F.coalesce(in_fold(F.col("_row.doc_id"), folds) == left_out, F.lit(False))
-    return found.select(F.col("_row.doc_id").alias("doc_id"), held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    held_out = F.coalesce(in_fold(F.col("_row.c0"), folds) == left_out, F.lit(False))
+    return found.select(*restored("_row", ["doc_id"]), held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
     """The documents that score ``threshold`` or more, columns as they are."""
     found = scored(docs, train(docs, labels), docs.columns)
-    return found.where(F.col("_score") >= threshold).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    return found.where(F.col("_score") >= threshold).select(*restored("_row", docs.columns))

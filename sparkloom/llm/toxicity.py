@@ -15,7 +15,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import bounded_batches, text_bytes
+from sparkloom.llm.common import bounded_batches, carried, restored, text_bytes
 from sparkloom.llm.quality import in_fold, labelled_ids
 
 #: At most about so many labelled documents are learnt from, taken by a hash of their ids, and so many learnt terms kept.
@@ -159,10 +159,10 @@ class ToxicityModel:
         self.weights, self.trees, self.steps, self.prior = weights, trees, steps, prior
 
     def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """``_row``, a struct of the columns ``keep``, and ``_score``; null texts score as empty ones."""
+        """``_row``, the carried columns ``keep``, and ``_score``; null texts score as empty ones."""
         spark = docs.sparkSession
         bounded_batches(spark)
-        rows = docs.select(F.struct(*(docs[c] for c in keep)).alias("_row"), text_bytes(docs["text"]).alias("_text"))
+        rows = docs.select(carried(docs, keep).alias("_row"), text_bytes(docs["text"]).alias("_text"))
         if self.trees is None:
             return rows.select("_row", F.lit(self.prior).alias("_score"))
         weights = spark.sparkContext.broadcast([self.weights])
@@ -239,11 +239,11 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7,
     table gives an empty table; a null doc_id is not held out. Other columns of ``docs`` are not read.
     """
     found = train(docs, labels, folds, left_out).scored(docs, ["doc_id"])
-    held_out = F.coalesce(in_fold(F.col("_row.doc_id"), folds) == left_out, F.lit(False))
-    return found.select(F.col("_row.doc_id").alias("doc_id"), held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    held_out = F.coalesce(in_fold(F.col("_row.c0"), folds) == left_out, F.lit(False))
+    return found.select(*restored("_row", ["doc_id"]), held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
     """The documents that score under ``threshold``, columns as they are."""
     found = train(docs, labels).scored(docs, docs.columns)
-    return found.where(F.col("_score") < threshold).select(*(F.col("_row")[c].alias(c) for c in docs.columns))
+    return found.where(F.col("_score") < threshold).select(*restored("_row", docs.columns))

@@ -16,7 +16,7 @@ def documents(spark):
 
 
 #: Columns that operators might use themselves.
-CLASHING = ["1 AS size", "2 AS ids", "3 AS fp", "4 AS word", "'x' AS label", "5 AS node", "6 AS part", "7 AS score", "8 AS _text", "9 AS component", "'y' AS record_id", "10 AS passage", "11 AS n"]
+CLASHING = ["1 AS size", "2 AS ids", "3 AS fp", "4 AS word", "'x' AS label", "5 AS node", "6 AS part", "7 AS score", "8 AS _text", "9 AS component", "'y' AS record_id", "10 AS passage", "11 AS n", "12 AS `a.b`", "13 AS c0", "14 AS `x y`"]
 
 
 @pytest.fixture
