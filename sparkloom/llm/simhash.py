@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_batches, text_bytes, whole_groups, written
 from sparkloom.llm.components import connected_components, local_roots
+from sparkloom.llm.near_copies import keep_one as keep_one  # the pipeline's stage: not by op8's fingerprints
 
 SHINGLE, SEED, MAX_BITS = 3, 42, 3
 #: Children of a node of the index, and pairs of fingerprint and node that are looked at together.
@@ -211,13 +212,3 @@ def near_duplicates(docs: DataFrame, limit: int = BUCKET) -> DataFrame:
     ids = written(own.join(least, F.col("_component") == F.col("_c")).select(F.col("fp").alias("_fp"), "component_id"), "simhash-ids")
     found = rows.join(ids, F.col("fp") == F.col("_fp"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without near copies: of each component the one with the smallest doc_id, columns as they are.
-
-    Rows that share a doc_id count as one document and stay or go together. Rows without a doc_id all stay.
-    """
-    found = near_duplicates(docs)
-    gone = found.where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == F.col("_gone"), "left_anti")
