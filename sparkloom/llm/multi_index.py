@@ -22,6 +22,8 @@ from sparkloom.llm.components import connected_components, local_roots
 SAMPLE, PER_CELL, MOST_CODEWORDS = 20_000, 32, 512
 #: Share of pairs at the threshold itself that are to meet; closer pairs meet more often.
 TARGET_RECALL = 0.995
+#: Clusters of the sample that count as regions; the sample's vectors that make a region or label large, and are tried of it.
+REGIONS, TRIALS = 16, 1000
 #: Vectors of a cell that meet at once; a fuller cell is cut into blocks, and every two blocks meet.
 BLOCK = 512
 
@@ -58,11 +60,13 @@ def squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 class Grid:
     """Two codebooks, and how many cells a vector visits."""
 
-    def __init__(self, sample: np.ndarray, codewords: int, threshold: float, target: float = TARGET_RECALL, seed: int = 7) -> None:
+    def __init__(self, sample: np.ndarray, codewords: int, threshold: float, target: float = TARGET_RECALL, seed: int = 7, labels: np.ndarray | None = None) -> None:
         rng = np.random.default_rng(seed)
         self.codewords = max(1, min(codewords, len(sample)))
         self.books = [codebook(part, self.codewords, rng) for part in self._halves(sample)]
-        self.visits = self._enough(sample[:2000], threshold, target, rng)
+        order = rng.permutation(len(sample))  # the sample comes sorted
+        groups = self._groups(sample[order], None if labels is None else labels[order], rng)
+        self.visits = self._enough(sample[order], groups, threshold, target, rng)
 
     @staticmethod
     def _halves(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,18 +94,33 @@ class Grid:
         first = np.argsort(total, axis=1, kind="stable")[:, :n]
         return np.take_along_axis(order[0][:, i], first, axis=1) * self.codewords + np.take_along_axis(order[1][:, j], first, axis=1)
 
-    def _enough(self, sample: np.ndarray, threshold: float, target: float, rng: np.random.Generator) -> int:
-        """Cells after which pairs at the threshold have met, either way, with the target recall; tried on the sample and
-        on neighbours made at that very distance."""
+    @staticmethod
+    def _groups(sample: np.ndarray, labels: np.ndarray | None, rng: np.random.Generator) -> list[np.ndarray]:
+        """Trial vectors of all the sample, of each large region and of each large label; the sample is in random order."""
+        regions = squares(sample, codebook(sample, min(REGIONS, len(sample)), rng)).argmin(axis=1)
+        kinds = [regions] if labels is None else [regions, labels]
+        large = [at for kind in kinds for x in np.unique(kind) if len(at := np.flatnonzero(kind == x)) >= TRIALS]
+        return [np.arange(min(2000, len(sample))), *(at[:TRIALS] for at in large)]
+
+    def _enough(self, sample: np.ndarray, groups: list[np.ndarray], threshold: float, target: float, rng: np.random.Generator) -> int:
+        """Cells after which pairs at the threshold have met, either way, with the target recall in each of ``groups``;
+        tried on their vectors of the sample and on neighbours made at that very distance."""
+        tried = np.unique(np.concatenate(groups))
+        groups = [np.searchsorted(tried, at) for at in groups]
+        sample = sample[tried]
         aside = rng.standard_normal(sample.shape)
         aside -= (aside * sample).sum(axis=1, keepdims=True) * sample
         size = np.linalg.norm(aside, axis=1, keepdims=True)  # 0 in one dimension, where nothing is aside
         others = threshold * sample + np.sqrt(1 - threshold**2) * aside / np.where(size > 0, size, 1.0)
         homes = self.home(sample), self.home(others)
+        met = np.zeros(len(sample), dtype=bool)
         n = 1
         while n < self.codewords**2:
-            met = (self.nearest(sample, n) == homes[1][:, None]).any(axis=1) | (self.nearest(others, n) == homes[0][:, None]).any(axis=1)
-            if met.mean() >= target:
+            left = np.flatnonzero(~met)  # what has met stays met
+            for at in (left[k : k + 2000] for k in range(0, len(left), 2000)):
+                there, back = self.nearest(sample[at], n) == homes[1][at, None], self.nearest(others[at], n) == homes[0][at, None]
+                met[at] = there.any(axis=1) | back.any(axis=1)
+            if all(met[at].mean() >= target for at in groups):
                 break
             n = n + 1 if n < 8 else n + n // 4
         return min(n, self.codewords**2)
@@ -131,10 +150,13 @@ def fitted_grids(vectors: DataFrame, threshold: float) -> dict[int, Grid]:
     for dim, n in ((r["dim"], r["n"]) for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         share = min(1.0, SAMPLE / n)
         rows = vectors.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit("sample"), "embedding"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
-        sample = unit(np.array(rows.select("embedding").limit(2 * SAMPLE).toArrow().column(0).to_pylist()).reshape(-1, dim))
-        sample = sample[np.lexsort(sample.T[:4])]
+        taken = rows.select("embedding", "label").limit(2 * SAMPLE).toArrow()
+        sample = unit(np.array(taken.column(0).to_pylist()).reshape(-1, dim))
+        labels = taken.column(1).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        order = np.lexsort(sample.T[:4])
+        sample, labels = sample[order], labels[order]
         codewords = int(np.clip(np.sqrt(n / PER_CELL), 1, MOST_CODEWORDS))
-        grids[dim] = Grid(sample, codewords, threshold)
+        grids[dim] = Grid(sample, codewords, threshold, labels=labels)
     return grids
 
 
