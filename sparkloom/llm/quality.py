@@ -25,7 +25,7 @@ TRAIN_ROWS = 8192
 SCALE = 8.0
 #: Of follow-the-regularised-leader (McMahan et al., KDD 2013), and how often it passes over the sample.
 ALPHA, BETA, L1, L2, PASSES = 0.3, 1.0, 0.02, 0.02, 4
-#: Texts are hashed so many bytes at a time; longer ones in windows of this size, cut at a blank where there is one.
+#: Texts are hashed so many bytes at a time, longer ones in windows of this size; no result depends on it.
 WINDOW = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -37,7 +37,7 @@ def _powers() -> tuple[np.ndarray, np.ndarray]:
     """Powers of the hash's base and of its inverse modulo 2**64."""
     both = []
     for b in (int(_BASE), pow(int(_BASE), -1, 1 << 64)):
-        steps = np.full(2 * WINDOW + 1, b, dtype=np.uint64)
+        steps = np.full(WINDOW + 1, b, dtype=np.uint64)
         steps[0] = 1
         both.append(np.multiply.accumulate(steps))
     return both[0], both[1]
@@ -60,14 +60,10 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def _windows(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
-    """Numbers and bytes of texts, or of windows of long ones, in groups of bounded size."""
+def _groups(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
+    """Numbers and bytes of texts in groups of a window at most; a longer text is a group by itself."""
     at, held, n = [], [], 0
     for k, text in enumerate(texts):
-        while len(text) > WINDOW:
-            cut = max(text.rfind(b" ", 0, WINDOW), text.rfind(b"\n", 0, WINDOW)) + 1 or WINDOW
-            yield [k], [text[:cut]]
-            text = text[cut:]
         if n + len(text) + 1 > WINDOW and held:
             yield at, held
             at, held, n = [], [], 0
@@ -78,56 +74,119 @@ def _windows(texts: list[bytes]) -> Iterator[tuple[list[int], list[bytes]]]:
         yield at, held
 
 
+def _windows(data: np.ndarray) -> Iterator[np.ndarray]:
+    """Bytes in windows that end where a token or a run of blanks does; one that is longer is a window by itself."""
+    at = 0
+    while at < len(data):
+        end = at + WINDOW
+        if end < len(data):
+            kind = _KIND[data[at : end + 1]]
+            changes = np.flatnonzero(kind[1:] != kind[:-1])
+            if len(changes):
+                end = at + int(changes[-1]) + 1
+            else:
+                while end < len(data) and (same := _KIND[data[end : end + WINDOW]] == kind[0]).all():
+                    end += len(same)
+                if end < len(data):
+                    end += int(same.argmin())
+        yield data[at:end]
+        at = end
+
+
+def _shape(kind: np.ndarray, n: np.ndarray, capitals: np.ndarray, digits: np.ndarray, first_upper: np.ndarray) -> np.ndarray:
+    """Case, digits or length of tokens, as a number: small 0, first capital 1, all capitals 2, else 3, digits 4, signs 6 to 9."""
+    shape = np.select([kind == 2, digits > 0, capitals == 0, (capitals == n) & (n > 1), first_upper & (capitals == 1)], [5, 4, 0, 2, 1], 3)
+    return np.where(shape == 5, 5 + np.minimum(n, 4), shape)
+
+
+def _tokens(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Start, hash, shape and kind of each token of a window."""
+    if len(data) > WINDOW:  # one token or a run of blanks, by pieces
+        if not _KIND[data[0]]:
+            return tuple(np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64, np.int8))
+        h, capitals, digits = 0, 0, 0
+        for at in range(0, len(data), WINDOW):
+            some = data[at : at + WINDOW]
+            h += int(_sums(some)[-1]) * pow(int(_BASE), at, 1 << 64)
+            capitals += int(((some >= 65) & (some <= 90)).sum())
+            digits += int(((some >= 48) & (some <= 57)).sum())
+        kind = _KIND[data[:1]]
+        shape = _shape(kind, *(np.array([x]) for x in (len(data), capitals, digits, 65 <= data[0] <= 90)))
+        return np.zeros(1, dtype=np.int64), _mixed(np.array([h % (1 << 64)], dtype=np.uint64)), shape, kind
+    kind = _KIND[data]
+    edges = np.flatnonzero(kind[1:] != kind[:-1]) + 1
+    starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(data)]))
+    keep = kind[starts] > 0
+    starts, ends = starts[keep], ends[keep]
+    sums, upper = _sums(data), (data >= 65) & (data <= 90)
+    uppers = np.concatenate(([0], np.cumsum(upper)))
+    digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
+    token = _mixed((sums[ends] - sums[starts]) * _powers()[1][starts])
+    return starts, token, _shape(kind[starts], ends - starts, uppers[ends] - uppers[starts], digits[ends] - digits[starts], upper[starts]), kind[starts]
+
+
+def _sums(data: np.ndarray) -> np.ndarray:
+    """Running sums of the bytes in small letters times powers of the base; a token's hash is a difference of two."""
+    lower = np.where((data >= 65) & (data <= 90), data + 32, data).astype(np.uint64)
+    return np.concatenate(([np.uint64(0)], np.cumsum((lower + np.uint64(1)) * _powers()[0][: len(data)], dtype=np.uint64)))
+
+
 def ngrams(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For groups of texts: the text's number and the bucket of each n-gram, and the text's number of each token."""
-    power, inverse = _powers()
-    for at, held in _windows(texts):
+    """For groups of texts or windows of long ones: the text's number and the bucket of each n-gram, and the text's number
+    of each token.
+
+    Windows do not show in the result: none cuts a token, and each goes on from the last token and the last word before.
+    """
+    for at, held in _groups(texts):
         data = np.frombuffer(b"\n".join(held) + b"\n", dtype=np.uint8)
-        kind = _KIND[data]
-        edges = np.flatnonzero(kind[1:] != kind[:-1]) + 1
-        starts = np.concatenate(([0], edges))
-        ends = np.concatenate((edges, [len(data)]))
-        keep = kind[starts] > 0
-        starts, ends = starts[keep], ends[keep]
-        if not len(starts):
-            continue
-        upper = (data >= 65) & (data <= 90)
-        lower = np.where(upper, data + 32, data).astype(np.uint64)
-        sums = np.concatenate(([np.uint64(0)], np.cumsum((lower + np.uint64(1)) * power[: len(data)], dtype=np.uint64)))
-        token = _mixed((sums[ends] - sums[starts]) * inverse[starts])
-        uppers = np.concatenate(([0], np.cumsum(upper)))
-        digits = np.concatenate(([0], np.cumsum((data >= 48) & (data <= 57))))
-        n, caps = ends - starts, uppers[ends] - uppers[starts]
-        shape = np.select([kind[starts] == 2, digits[ends] > digits[starts], caps == 0, (caps == n) & (n > 1), upper[starts] & (caps == 1)], [5, 4, 0, 2, 1], 3)
-        shape = np.where(shape == 5, 5 + np.minimum(n, 4), shape)
-        lengths = np.fromiter(map(len, held), dtype=np.int64, count=len(held)) + 1
-        text = np.searchsorted(np.cumsum(lengths), starts, side="right")
-        joined = text[1:] == text[:-1]
-        pair = _mixed(token[:-1] * np.uint64(3) + token[1:])[joined]
-        # a symbol between two equal words does not hide that they repeat
-        words = np.flatnonzero(kind[starts] == 1)
-        again = np.zeros(len(starts), dtype=np.int64)
-        if len(words) > 1:
-            again[words[1:]] = (token[words[1:]] == token[words[:-1]]) & (text[words[1:]] == text[words[:-1]])
-        shapes = _mixed((shape[:-1] * 32 + shape[1:] * 2 + again[1:] + 1_000_003).astype(np.uint64))[joined]
-        number = np.asarray(at)
-        owner = np.concatenate((text, text[1:][joined], text[1:][joined]))
-        bucket = np.concatenate((token, pair, shapes)) % np.uint64(BUCKETS)
-        yield number[owner], bucket.astype(np.int64), number[text]
+        ends = np.cumsum(np.fromiter(map(len, held), dtype=np.int64, count=len(held)) + 1)
+        number, done = np.asarray(at), 0
+        before = [np.zeros(0, dtype=t) for t in (np.int64, np.uint64, np.int64, np.int8)]  # text, hash, shape and kind
+        for window in _windows(data):
+            starts, *own = _tokens(window)
+            text = np.searchsorted(ends, starts + done, side="right")
+            done += len(window)
+            if not len(starts):
+                continue
+            known = len(before[0])
+            text, token, shape, kind = (np.concatenate(x) for x in zip(before, (text, *own), strict=True))
+            joined = text[1:] == text[:-1]
+            joined[: max(0, known - 1)] = False  # counted before
+            pair = _mixed(token[:-1] * np.uint64(3) + token[1:])[joined]
+            # a symbol between two equal words does not hide that they repeat
+            words = np.flatnonzero(kind == 1)
+            again = np.zeros(len(token), dtype=np.int64)
+            if len(words) > 1:
+                again[words[1:]] = (token[words[1:]] == token[words[:-1]]) & (text[words[1:]] == text[words[:-1]])
+            shapes = _mixed((shape[:-1] * 32 + shape[1:] * 2 + again[1:] + 1_000_003).astype(np.uint64))[joined]
+            owner = np.concatenate((text[known:], text[1:][joined], text[1:][joined]))
+            bucket = np.concatenate((token[known:], pair, shapes)) % np.uint64(BUCKETS)
+            yield number[owner], bucket.astype(np.int64), number[text[known:]]
+            last = sorted({*words[-1:].tolist(), len(token) - 1})
+            before = [x[last] for x in (text, token, shape, kind)]
+
+
+def _counted(text: bytes) -> tuple[np.ndarray, np.ndarray, int]:
+    """A text's buckets, how often it has each, and its number of tokens."""
+    counts, used, tokens = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), 0
+    for _, bucket, token in ngrams([text]):
+        tokens += len(token)
+        if len(text) < WINDOW:  # all at once
+            used, counts = np.unique(bucket, return_counts=True)
+        else:
+            counts = np.bincount(bucket, minlength=BUCKETS) + (counts if len(counts) else 0)
+    if len(text) >= WINDOW:
+        used = np.flatnonzero(counts)
+        counts = counts[used]
+    return used, counts, tokens
 
 
 def _sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each labelled text as its buckets and their values."""
     for batch in batches:
         for k, text in enumerate(batch.column("_text").to_pylist()):
-            parts = list(ngrams([text]))
-            counts = np.zeros(0, dtype=np.int64)
-            if parts:
-                bucket, counts = np.unique(np.concatenate([b for _, b, _ in parts]), return_counts=True)
-            else:
-                bucket = counts
-            tokens = max(1, sum(len(t) for _, _, t in parts))
-            row = [batch.column("order").slice(k, 1), batch.column("label").slice(k, 1), pa.array([bucket.tolist()], pa.list_(pa.int32())), pa.array([(counts * (SCALE / tokens)).tolist()], pa.list_(pa.float32()))]
+            bucket, counts, tokens = _counted(text)
+            row = [batch.column("order").slice(k, 1), batch.column("label").slice(k, 1), pa.array([bucket.tolist()], pa.list_(pa.int32())), pa.array([(counts * (SCALE / max(1, tokens))).tolist()], pa.list_(pa.float32()))]
             yield pa.RecordBatch.from_arrays(row, names=["order", "label", "bucket", "value"])
 
 
@@ -226,7 +285,8 @@ def scored(docs: DataFrame, weights: np.ndarray, keep: list[str]) -> DataFrame:
 def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, folds: int = 5, left_out: int = 0) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of every document.
 
-    Empty and null texts score by the bias alone. Equal texts score alike. Repeated rows stay; an empty table gives an
+    Empty and null texts score by the bias alone, and equal texts alike. Long texts are read in windows, in memory that
+    grows only with the text itself, and score as if they were read at once. Repeated rows stay; an empty table gives an
     empty table; a null doc_id is not held out. Other columns of ``docs`` are not read.
     """
     found = scored(docs, train(docs, labels, "quality", folds, left_out), ["doc_id"])
@@ -235,6 +295,11 @@ def quality_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, f
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """The documents that score ``threshold`` or more, columns as they are."""
+    """The documents that score ``threshold`` or more, all columns as they are, whatever their names.
+
+    Null, empty and long texts score as :func:`quality_scores` says; equal texts stay or go together, repeated rows stay
+    repeated, and a null doc_id makes no difference. Where no label is known every text scores 0.5. An empty table gives
+    an empty table.
+    """
     found = scored(docs, train(docs, labels), docs.columns)
     return found.where(F.col("_score") >= threshold).select(*restored("_row", docs.columns))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -36,10 +37,10 @@ NEAR = 5
 PREFIXES = (4, 5, 6, 7, 8)
 #: Characters written for letters.
 DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "l", "*": "", ".": "", "-": "", "_": ""})
-WORD = regex.compile(r"[^\W\d_]+")
+WORD, ASCII_WORD = regex.compile(r"[^\W\d_]+"), re.compile(r"[a-z]+")
 CAPITALS = regex.compile(r"\b[A-Z]{2,}\b")
 #: Letters with digits or signs between them, and single letters with signs or blanks between.
-OBFUSCATED = regex.compile(r"(?<!\w)(?:[0134578@$]?[^\W\d_]+[0134578@$!|*]+(?=[^\W_])[\w@$!|*]*|(?:[^\W\d_][.\-_* ]){3,}[^\W\d_])(?![\w])")
+OBFUSCATED = re.compile(r"(?<!\w)(?:[0134578@$]?[^\W\d_]+[0134578@$!|*]+(?=[^\W_])[\w@$!|*]*|(?:[^\W\d_][.\-_* ]){3,}[^\W\d_])(?![\w])")
 FEATURES = (
     "insults per 100 words", "log insults", "learnt words per 100 words", "log learnt words", "largest learnt weight", "log summed learnt weight",
     "share of lexicon words near a second-person word", "second-person words per 100 words", "share of capitals", "words in capitals per 100 words",
@@ -60,25 +61,32 @@ class Lexicon(dict):
     def __init__(self, weights: dict[str, float]) -> None:
         super().__init__()
         self.weights = weights
+        self.heads = {t.rstrip("*")[: PREFIXES[0]] for t in weights}  # most words have no term that begins as they do
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.ROOM:
             self.clear()
-        self[word] = found = max((self.weights.get(t, 0.0) for t in terms(word)), default=0.0)
+        found = max(self.weights.get(t, 0.0) for t in terms(word)) if word[: PREFIXES[0]] in self.heads else 0.0
+        self[word] = found
         return found
 
 
+def words_of(text: str) -> list[str]:
+    """Runs of letters in small letters."""
+    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower())
+
+
 def plain(token: str) -> str:
     return token.lower().rstrip("!|*@$").replace(" ", "").translate(DISGUISE)
 
 
 def features(text: str, lexicon: Lexicon) -> list[float]:
     """Values of FEATURES; all 0 for a text without words but the sign rates."""
-    words = WORD.findall(text.lower())
+    words = words_of(text)
     n = len(words)
     per_word, per_byte = 100 / max(1, n), 100 / max(1, len(text))
     insults = [k for k, w in enumerate(words) if w in INSULTS]
-    weights = [lexicon[w] for w in words]
+    weights = [*map(lexicon.__getitem__, words)]
     learnt = [k for k, x in enumerate(weights) if x]
     hidden = [plain(t) for t in OBFUSCATED.findall(text)]
     hidden_hits = sum(w in INSULTS or lexicon[w] > 0 for w in hidden)
@@ -104,7 +112,7 @@ def _term_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for text, label, part in zip(*(batch.column(k).to_pylist() for k in ("_text", "label", "part")), strict=True):
             text = text.decode("utf-8", "replace")
-            words = {*WORD.findall(text.lower()), *map(plain, OBFUSCATED.findall(text))}
+            words = {*words_of(text), *map(plain, OBFUSCATED.findall(text))}
             own = counts[2 * (part // 2) + label]
             own.update({t for w in words for t in terms(w)})
             own[""] += 1  # documents
@@ -159,20 +167,19 @@ class ToxicityModel:
         self.weights, self.trees, self.steps, self.prior = weights, trees, steps, prior
 
     def scored(self, docs: DataFrame, keep: list[str]) -> DataFrame:
-        """``_row``, the carried columns ``keep``, and ``_score``; null texts score as empty ones."""
+        """``_row``, the carried columns ``keep``, ``_score`` and the trees' own ``_probability``; null texts score as empty ones."""
         spark = docs.sparkSession
         bounded_batches(spark)
         rows = docs.select(carried(docs, keep).alias("_row"), text_bytes(docs["text"]).alias("_text"))
         if self.trees is None:
-            return rows.select("_row", F.lit(self.prior).alias("_score"))
+            return rows.select("_row", F.lit(self.prior).alias("_score"), F.lit(self.prior).alias("_probability"))
         weights = spark.sparkContext.broadcast([self.weights])
         rows = rows.withColumn("_lexicon", F.lit(0)).mapInArrow(_featured(weights), f"_row {rows.schema['_row'].dataType.simpleString()}, _features array<double>")
-        return self.apply(rows).select("_row", "_score")
+        return self.apply(rows).select("_row", "_score", "_probability")
 
     def apply(self, rows: DataFrame) -> DataFrame:
-        """``rows``, which have ``_features``, with ``_score``."""
-        p = _probability(self.trees, rows)
-        return p.withColumn("_score", _stepped(F.col("_probability"), *self.steps))
+        """``rows``, which have ``_features``, with ``_score`` and ``_probability``."""
+        return _probability(self.trees, rows).withColumn("_score", _stepped(F.col("_probability"), *self.steps))
 
 
 def _probability(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
@@ -181,13 +188,12 @@ def _probability(trees: GBTClassificationModel, rows: DataFrame) -> DataFrame:
 
 
 def _stepped(p, boundaries: list[float], values: list[float]):
-    """The isotonic map, straight between its boundaries and flat beyond; a tenth of the raw probability keeps ties in order."""
+    """The isotonic map, straight between its boundaries and flat beyond."""
     at, to = F.array(*map(F.lit, boundaries)), F.array(*map(F.lit, values))
     k = F.size(F.filter(at, lambda b: b <= p))  # boundaries up to p
     low, high = F.greatest(k, F.lit(1)), F.least(k + 1, F.lit(len(boundaries)))
     x0, x1, y0, y1 = F.element_at(at, low), F.element_at(at, high), F.element_at(to, low), F.element_at(to, high)
-    inside = y0 + (y1 - y0) * F.when(x1 > x0, F.least(F.greatest((p - x0) / (x1 - x0), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
-    return 0.9 * inside + 0.1 * p
+    return y0 + (y1 - y0) * F.when(x1 > x0, F.least(F.greatest((p - x0) / (x1 - x0), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
 
 
 def train(docs: DataFrame, labels: DataFrame, folds: int = 3, left_out: int = 1, bound: int = TRAIN_ROWS) -> ToxicityModel:
@@ -226,24 +232,33 @@ def _fitted(made: DataFrame, weights: dict[str, float]) -> ToxicityModel:
     model = trees.fit(fit.select(F.col("label").cast("double"), array_to_vector("_features").alias("features")))
     steps = ([0.0, 1.0], [0.0, 1.0])
     if 0 < shares[1]["ones"] < shares[1]["n"]:
-        pairs = _probability(model, held).select(F.col("label").cast("double").alias("label"), F.col("_probability").alias("features"))
-        fitted = IsotonicRegression().fit(pairs)
+        # equal probabilities as one row of their weight: else the many rows of the commonest would sort in one task
+        pairs = _probability(model, held).groupBy(F.col("_probability").alias("features"))
+        pairs = pairs.agg(F.avg(F.col("label").cast("double")).alias("label"), F.count("*").cast("double").alias("weight"))
+        fitted = IsotonicRegression(weightCol="weight").fit(pairs)
         steps = fitted.boundaries.toArray().tolist(), fitted.predictions.toArray().tolist()
     return ToxicityModel(weights, model, steps, ones / n)
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, folds: int = 3, left_out: int = 1) -> DataFrame:
-    """``doc_id, held_out, score, predicted`` of every document.
+    """``doc_id, held_out, score, predicted, raw`` of every document; ``raw`` is the trees' probability before calibration,
+    which also ranks the texts of equal ``score``.
 
-    Equal texts score alike, empty and null texts as a text without any of the features. Repeated rows stay; an empty
-    table gives an empty table; a null doc_id is not held out. Other columns of ``docs`` are not read.
+    Equal texts score alike, empty and null texts as a text without any of the features. Long texts are read whole, one
+    at a time. Repeated rows stay; an empty table gives an empty table; a null doc_id is not held out. Other columns of
+    ``docs`` are not read.
     """
     found = train(docs, labels, folds, left_out).scored(docs, ["doc_id"])
     held_out = F.coalesce(in_fold(F.col("_row.c0"), folds) == left_out, F.lit(False))
-    return found.select(*restored("_row", ["doc_id"]), held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"))
+    return found.select(*restored("_row", ["doc_id"]), held_out.alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= threshold).cast("int").alias("predicted"), F.col("_probability").alias("raw"))
 
 
 def keep_civil(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The documents that score under ``threshold``, columns as they are."""
+    """The documents that score under ``threshold``, all columns as they are, whatever their names.
+
+    Null, empty and long texts score as :func:`toxicity_scores` says; equal texts stay or go together, repeated rows stay
+    repeated, and a null doc_id makes no difference. Where the labels lack one kind every text scores the share of
+    label 1, and without any label 0. An empty table gives an empty table.
+    """
     found = train(docs, labels).scored(docs, docs.columns)
     return found.where(F.col("_score") < threshold).select(*restored("_row", docs.columns))
