@@ -71,7 +71,8 @@ ORACLE_SQL = {
     "op1_mixing": r"""
         WITH docs AS (
             SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS ticket
+                   CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS ticket,
+                   CAST('0x' || substr(md5(concat_ws('/', 'text', CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12) AS BIGINT) AS ticket2
             FROM documents),
         named AS (
             SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
@@ -89,20 +90,13 @@ ORACLE_SQL = {
             FROM steps, level),
         rests AS (
             SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS INTEGER) ELSE 0 END AS whole FROM shares),
-        sums AS (
-            SELECT source, ticket, sum(size) AS words FROM docs GROUP BY source, ticket),
         through AS (
-            SELECT source, ticket, words, sum(words) OVER (PARTITION BY source ORDER BY ticket) AS total FROM sums),
-        reached AS (
-            SELECT r.source, min(t.ticket) AS ticket, min_by(t.total, t.ticket) AS total, min_by(t.words, t.ticket) AS words
-            FROM rests r JOIN through t ON r.source IS NOT DISTINCT FROM t.source
-            WHERE t.total > r.target - r.whole * r.source_size GROUP BY r.source),
-        plan AS (
-            SELECT r.*, CASE WHEN c.ticket IS NULL THEN 0
-                             WHEN c.total - (target - whole * source_size) < (target - whole * source_size) - (c.total - c.words) THEN c.ticket + 1
-                             ELSE c.ticket END AS cut
-            FROM rests r LEFT JOIN reached c ON r.source IS NOT DISTINCT FROM c.source)
-        SELECT doc_id, size, source_size, target, CAST(size * (whole + CASE WHEN ticket < cut THEN 1 ELSE 0 END) AS BIGINT) AS taken
-        FROM docs JOIN plan ON docs.source IS NOT DISTINCT FROM plan.source
+            SELECT *, sum(size) OVER (PARTITION BY source ORDER BY ticket, ticket2 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total FROM docs),
+        placed AS (
+            SELECT t.doc_id, t.size, r.source_size, r.target, r.whole, t.total - t.size AS below, t.total, r.target - r.whole * r.source_size AS rest
+            FROM through t JOIN rests r ON t.source IS NOT DISTINCT FROM r.source)
+        SELECT doc_id, size, source_size, target,
+               CAST(size * (whole + CASE WHEN total <= rest OR (below <= rest AND total - rest < rest - below) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM placed
     """,
 }

@@ -73,6 +73,36 @@ def test_null_ids_repeated_rows_and_empty_tables(documents):
     assert [(r["size"], r["target"], r["taken"]) for r in nothing] == [(0, 0.0, 0)] * 2
 
 
+@pytest.mark.parametrize("ids", ["one", "none", "few"])
+def test_rows_of_one_id_are_parted(documents, ids):
+    """A source near its target even where all of its rows have one id or none, with texts of their own or all alike."""
+    make = {"one": lambda k: 7, "none": lambda k: None, "few": lambda k: k % 3}[ids]
+    rows = [(make(k), f"w{k} x y z", "a") for k in range(200)] + [(make(k), "x y z w", "b") for k in range(200)]
+    rows += [(1000 + k, "a b c d e f g h i", "c") for k in range(150)]
+    docs = documents(rows)
+    taken = mixing.mix_sizes(docs).groupBy("source_size", "target").agg(F.sum("taken").alias("t"), F.count("*").alias("n")).collect()
+    assert sum(r["n"] for r in taken) == 550 and all(abs(r["t"] - r["target"]) <= 9 / 2 * (2 if r["source_size"] == 800 else 1) for r in taken)
+    for source, target in plain_targets({"a": 800, "b": 800, "c": 1350}).items():
+        words = mixing.mix(docs).where(F.col("source") == source).select(F.sum(mixing.word_count(F.col("text")))).first()[0]
+        assert abs(words - target) <= (4.5 if source == "c" else 2)
+    assert sorted(mixing.mix(docs).select("text").collect()) == sorted(mixing.mix(docs.repartition(5)).select("text").collect())
+
+
+def test_many_sources_get_what_plain_sharing_gives(spark, documents, monkeypatch):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 3)
+    rows = [(k, "w " * (1 + k % 17 * (k % 5)), f"s{k % 61:02}" if k % 61 else None) for k in range(1200)]
+    sizes = {}
+    for _, text, s in rows:
+        sizes[s] = sizes.get(s, 0) + len(text.split())
+    found = mixing.mix_sizes(documents(rows).repartition(6)).select("source_size", "target").distinct().collect()
+    assert sorted((r[0], round(r[1], 6)) for r in found) == sorted({(sizes[s], round(float(t), 6)) for s, t in plain_targets(sizes).items()})
+
+
+def test_a_long_text_is_counted_whole(documents):
+    rows = [(1, "word " * 400_000, "a"), (2, "w" * 1_000_000, "a"), (3, "x", "b")]
+    assert {r["doc_id"]: r["size"] for r in mixing.mix_sizes(documents(rows)).collect()} == {1: 400_000, 2: 1, 3: 1}
+
+
 def test_native(many):
     plan = mixing.mix_sizes(many)._jdf.queryExecution().toString() + mixing.mix(many)._jdf.queryExecution().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
