@@ -12,29 +12,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_LOCAL: dict[str, str] = {}
-_WRITTEN: list[str] = []
-#: Bytes of an Arrow batch, about; one longer row makes a batch by itself.
-BATCH_BYTES = 16 << 20
+from sparkloom.sources.shared import shared_folder as shared_folder
 
-
-def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``; a temporary folder where it is unset, as in tests on one machine."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder:
-        return folder.rstrip("/")
-    if "folder" not in _LOCAL:
-        _LOCAL["folder"] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-    return _LOCAL["folder"]
+_SENT: dict[str, str] = {}
+_WRITTEN: dict[str, list[str]] = {}
+#: Rows and bytes of an Arrow batch, at most and about; one longer row makes a batch by itself.
+BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
 
 def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/sparkloom/{name}-{uuid.uuid4().hex}"
 
 
-def tracked(path: str) -> str:
+def _tables(spark: SparkSession) -> list[str]:
+    """Paths that operators wrote to in this application."""
+    return _WRITTEN.setdefault(spark.sparkContext.applicationId, [])
+
+
+def tracked(spark: SparkSession, path: str) -> str:
     """A path that :func:`clear` is to remove."""
-    _WRITTEN.append(path)
+    _tables(spark).append(path)
     return path
 
 
@@ -44,7 +41,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     The table stays until :func:`clear`, since results that Spark computes later read it.
     """
     spark = df.sparkSession
-    path = tracked(new_path(spark, name))
+    path = tracked(spark, new_path(spark, name))
     df.write.parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found._sparkloom_path = path
@@ -54,13 +51,22 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def forget(df: DataFrame) -> None:
     """Removes a table of :func:`written` that no later result reads."""
     _remove(df.sparkSession, df._sparkloom_path)
-    _WRITTEN.remove(df._sparkloom_path)
+    _tables(df.sparkSession).remove(df._sparkloom_path)
+
+
+def mark(spark: SparkSession) -> int:
+    """A moment, for :func:`clear`."""
+    return len(_tables(spark))
 
 
-def clear(spark: SparkSession) -> None:
-    """Removes all tables that operators wrote to the shared folder; results that were not stored elsewhere are lost."""
-    while _WRITTEN:
-        _remove(spark, _WRITTEN.pop())
+def clear(spark: SparkSession, since: int = 0, keep: DataFrame | None = None) -> None:
+    """Removes the tables that operators wrote to the shared folder since :func:`mark`, but for ``keep``; results that were
+    not stored elsewhere are lost."""
+    tables, kept = _tables(spark), getattr(keep, "_sparkloom_path", None)
+    gone = [t for t in tables[since:] if t != kept]
+    tables[since:] = [t for t in tables[since:] if t == kept]
+    for path in gone:
+        _remove(spark, path)
 
 
 def _remove(spark: SparkSession, path: str) -> None:
@@ -68,19 +74,19 @@ def _remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Before a stage in Python: long texts make Arrow batches of the default 10,000 rows large, so hand them over in
-    smaller ones; and send this package to the executors, once for each Spark context."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Before a stage in Python: long texts make Arrow batches of the default 10,000 rows large, so the session is set to
+    hand over smaller ones, the same in all operators; and this package is sent to the executors, once for each context."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     sent = spark.sparkContext.applicationId
-    if sent not in _LOCAL:
+    if sent not in _SENT:
         package = Path(__file__).parents[1]
         with zipfile.ZipFile(archive := Path(tempfile.mkdtemp(prefix="sparkloom-")) / "sparkloom.zip", "w") as z:
             for f in package.rglob("*.py"):
                 z.write(f, f.relative_to(package.parent))
         spark.sparkContext.addPyFile(str(archive))
-        _LOCAL[sent] = str(archive)
+        _SENT[sent] = str(archive)
 
 
 def own(df: DataFrame, name: str) -> Column:

@@ -66,7 +66,34 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
+#: Bare upper-case base32 of a hexadecimal SHA-1 ``h``: five digits are four characters.
+_BASE32 = """array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (k // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (k % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '')"""
+
 ORACLE_SQL = {
+    "op3_arc_to_warc": f"""
+        WITH payloads AS (
+            SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages),
+        firsts AS (SELECT h AS digest, min(page_id) AS first FROM payloads GROUP BY h)
+        SELECT page_id, payload_bytes, {_BASE32} AS payload_digest,
+               CASE WHEN first IS NULL OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+        FROM payloads JOIN firsts ON h = digest
+    """,
+    "op6_multi_index": """
+        WITH RECURSIVE vectors AS (SELECT row_number() OVER () AS r, vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+        able AS (
+            SELECT * FROM vectors WHERE label IS NOT NULL AND len(e) > 0
+            AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.r AS a, b.r AS b FROM able a JOIN able b ON a.label = b.label AND len(a.e) = len(b.e) AND a.r <> b.r
+            WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        reached AS (SELECT r AS a, r AS b FROM vectors UNION SELECT reached.a, links.b FROM reached JOIN links ON reached.b = links.a),
+        components AS (SELECT reached.a AS r, min(vectors.vec_id) AS component_id FROM reached JOIN vectors ON reached.b = vectors.r GROUP BY reached.a),
+        counts AS (SELECT a AS r, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, CAST(coalesce(n, 0) AS BIGINT) AS n_links, component_id, vec_id IS NOT DISTINCT FROM component_id AS kept
+        FROM vectors JOIN components USING (r) LEFT JOIN counts USING (r)
+    """,
     "op9_licenses": licenses.oracle_sql(threshold=0.8),
     "op1_mixing": r"""
         WITH docs AS (
