@@ -15,12 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.common import bounded_batches, whole_groups, written
-from sparkloom.llm.multi_index import comparable, matrix, squares
+from sparkloom.llm.multi_index import comparable, least, matrix, squares
 
-#: Vectors that the parts and the classifier are fitted to, about, taken by a hash; and neighbours in their graph.
-SAMPLE, GRAPH_NEIGHBOURS = 8192, 10
-#: One part for so many vectors, between these numbers of parts.
-PER_PART, LEAST_PARTS, MOST_PARTS = 500, 4, 256
+#: One part for so many vectors, between these numbers of parts; beyond two million vectors parts grow with the table.
+PER_PART, LEAST_PARTS, MOST_PARTS = 500, 4, 4096
+#: The parts and the classifier are fitted to about so many vectors, taken by a hash: SAMPLE, or more for many parts; never
+#: more than SAMPLE_BYTES of them. And neighbours in their graph.
+SAMPLE, SAMPLE_PER_PART, SAMPLE_BYTES, GRAPH_NEIGHBOURS = 8192, 16, 128 << 20, 10
 #: Queries whose true neighbours among all vectors set the number of parts that queries visit, and the recall they reach.
 TRIALS, TARGET_RECALL = 100, 0.96
 #: Vectors and queries that meet in one group; fuller parts are cut into blocks of these sizes.
@@ -93,22 +94,21 @@ class Router:
         graph = neighbour_graph(points)
         self.parts = parts = max(1, min(parts, len(points)))
         own = balanced_parts(points, graph, parts, rng)
-        # a vector is to be sought where its neighbours are
-        goal = np.zeros((len(points), parts))
-        np.add.at(goal, (np.arange(len(points)), own), 1.0)
-        for column in graph.T:
-            np.add.at(goal, (np.arange(len(points)), own[column]), 1.0)
-        goal /= goal.sum(axis=1, keepdims=True)
-        self._train((points - self.middle) / self.scale, goal, hidden, epochs, rng)
-
-    def _train(self, x: np.ndarray, goal: np.ndarray, hidden: int, epochs: int, rng: np.random.Generator) -> None:
+        # a vector is to be sought where it and its neighbours are
+        sought = np.concatenate((own[:, None], own[graph]), axis=1)
+        self._train((points - self.middle) / self.scale, sought, hidden, epochs, rng)
+
+    def _train(self, x: np.ndarray, sought: np.ndarray, hidden: int, epochs: int, rng: np.random.Generator) -> None:
+        """``sought``: parts of each point, which are to be equally probable."""
         shapes = [(x.shape[1], hidden), (hidden,), (hidden, self.parts), (self.parts,)]
         self.w = [rng.standard_normal(s) * (2 / s[0]) ** 0.5 if len(s) == 2 else np.zeros(s) for s in shapes]
         first, second, step = [np.zeros(s) for s in shapes], [np.zeros(s) for s in shapes], 0
         for epoch in range(epochs):
             for rows in np.array_split(rng.permutation(len(x)), max(1, len(x) // 256)):
                 a = np.maximum(x[rows] @ self.w[0] + self.w[1], 0)
-                error = (self._soft(a @ self.w[2] + self.w[3]) - goal[rows]) / len(rows)
+                error = self._soft(a @ self.w[2] + self.w[3])
+                np.add.at(error, (np.arange(len(rows))[:, None], sought[rows]), -1 / sought.shape[1])
+                error /= len(rows)
                 back = (error @ self.w[2].T) * (a > 0)
                 step += 1
                 for k, g in enumerate((x[rows].T @ back, back.sum(axis=0), a.T @ error, error.sum(axis=0))):
@@ -125,8 +125,14 @@ class Router:
 
     def order(self, points: np.ndarray) -> np.ndarray:
         """The parts for each vector, most probable first."""
-        hidden = np.maximum((points - self.middle) / self.scale @ self.w[0] + self.w[1], 0)
-        return np.argsort(-(hidden @ self.w[2] + self.w[3]), axis=1, kind="stable")
+        return np.argsort(-self._logits(points), axis=1, kind="stable")
+
+    def first(self, points: np.ndarray) -> np.ndarray:
+        """The most probable part of each vector."""
+        return least(-self._logits(points), 1)
+
+    def _logits(self, points: np.ndarray) -> np.ndarray:
+        return np.maximum((points - self.middle) / self.scale @ self.w[0] + self.w[1], 0) @ self.w[2] + self.w[3]
 
 
 def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, node: np.ndarray, ids: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -147,13 +153,20 @@ def nearest(queries: np.ndarray, own: np.ndarray, rows: np.ndarray, node: np.nda
             yield able[best], exact[best]
 
 
-def _routed(router, visits: int | None) -> Callable:
-    """Adds ``parts``: the most probable part, or for queries the ``visits`` most probable ones."""
+def _routed(router, visits: int | None = None, sizes: np.ndarray | None = None, enough: int = 0) -> Callable:
+    """Adds ``parts``: the most probable part, or for queries the ``visits`` most probable ones, and more of them where
+    these hold fewer than ``enough`` rows by the ``sizes`` of all parts."""
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            order = router.value.order(matrix(batch.column("embedding")).astype(np.float64))[:, : visits or 1]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(list(order.astype(np.int32)), pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
+            points = matrix(batch.column("embedding")).astype(np.float64)
+            if visits is None:
+                parts = list(router.value.first(points).astype(np.int32))
+            else:
+                order = router.value.order(points)
+                short = (np.cumsum(sizes[order], axis=1) < enough).sum(axis=1) + 1
+                parts = [row[: max(visits, n)].astype(np.int32) for row, n in zip(order, short, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(parts, pa.list_(pa.int32()))], names=[*batch.schema.names, "parts"])
 
     return routed
 
@@ -201,9 +214,10 @@ def _ranks(found: DataFrame, by: str, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _blocks(sizes: dict[int, int], size: int) -> Column:
-    """The number of blocks that a part's rows make; ``sizes`` has an entry for each of the bounded number of parts."""
-    return F.element_at(F.array(*(F.lit(max(1, -(-sizes.get(p, 0) // size))) for p in range(max(sizes, default=0) + 1))), F.col("part") + 1).cast("long")
+def _blocks(sizes: dict[int, int], parts: int, size: int) -> Column:
+    """The number of blocks that a part's rows make, as one constant of all parts, which are of a bounded number."""
+    blocks = F.split(F.lit(" ".join(str(max(1, -(-sizes.get(p, 0) // size))) for p in range(parts))), " ")
+    return F.element_at(blocks, F.col("part") + 1).cast("long")
 
 
 def search(embeddings: DataFrame, is_query: Column, k: int = 10, target: float = TARGET_RECALL) -> DataFrame:
@@ -211,12 +225,13 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, target: float =
 
     Ties go to the smaller vec_id, null last. Vectors that are null, empty, zero or hold null or non-finite components
     take no part; vectors are compared with those of their own length. Rows with equal ids are rows of their own: a
-    query's own row alone is left out. An empty table, or one without queries, gives an empty table.
+    query's own row alone is left out. A query whose parts hold fewer than k others goes on to further ones, so it gets k
+    rows, or all there are. An empty table, or one without queries, gives an empty table. Other columns are not read.
     """
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", is_query.alias("is_query"), F.size("embedding").alias("dim"))
     rows = written(rows.where(comparable(F.col("embedding"))).withColumn("node", F.monotonically_increasing_id()), "partitions-vectors")
     kinds = [(r["dim"], r["n"]) for r in rows.groupBy("dim").agg(F.count("*").alias("n")).collect()]
-    found = [_searched(rows.where(F.col("dim") == dim).drop("dim"), n, k, target) for dim, n in kinds]
+    found = [_searched(rows.where(F.col("dim") == dim).drop("dim"), dim, n, k, target) for dim, n in kinds]
     schema = "query_id long, rank int, vec_id long, score double"
     out = embeddings.sparkSession.createDataFrame([], schema)
     for part in found:
@@ -224,26 +239,35 @@ def search(embeddings: DataFrame, is_query: Column, k: int = 10, target: float =
     return out
 
 
-def _searched(rows: DataFrame, n: int, k: int, target: float) -> DataFrame:
+def _vectors(rows: DataFrame, dim: int) -> np.ndarray:
+    return matrix(rows.toArrow().column(0).combine_chunks()).astype(np.float64).reshape(-1, dim)
+
+
+def _searched(rows: DataFrame, dim: int, n: int, k: int, target: float) -> DataFrame:
     spark = rows.sparkSession
     bounded_batches(spark)
-    share = min(1.0, SAMPLE / n)
-    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("embedding").limit(2 * SAMPLE)
-    sample = np.array(sample.toArrow().column(0).to_pylist(), dtype=np.float64)
+    parts = int(np.clip(n // PER_PART, LEAST_PARTS, MOST_PARTS))
+    size = max(parts, min(max(SAMPLE, SAMPLE_PER_PART * parts), SAMPLE_BYTES // (8 * dim)))
+    share = min(1.0, size / n)
+    sample = rows.where(F.pmod(F.xxhash64(F.lit("sample"), "node"), F.lit(1 << 30)) <= int(share * (1 << 30))).select("embedding").limit(2 * size)
+    sample = _vectors(sample, dim)
     if not len(sample):  # fewer rows than a hash can miss
-        sample = np.array(rows.limit(SAMPLE).select("embedding").toArrow().column(0).to_pylist(), dtype=np.float64)
-    sample = sample[np.lexsort(sample.T[: min(4, sample.shape[1])])]
-    fitted = Router(sample, int(np.clip(n // PER_PART, LEAST_PARTS, MOST_PARTS)))
+        sample = _vectors(rows.limit(size).select("embedding"), dim)
+    sample = sample[np.lexsort(sample.T[: min(4, dim)])]
+    fitted = Router(sample, parts)
     router = spark.sparkContext.broadcast(fitted)
     kind = rows.schema["embedding"].dataType.simpleString()
     schema = f"vec_id long, embedding {kind}, is_query boolean, node long, parts array<int>"
     coded = rows.select("vec_id", "embedding", "is_query", "node").mapInArrow(_routed(router, None), schema)
     coded = written(coded.withColumn("part", F.col("parts")[0]).drop("parts"), "partitions-index")
     visits = _visits(coded, fitted, k, target)
-    asking = written(rows.where("is_query").select("vec_id", "embedding", "is_query", "node").mapInArrow(_routed(router, visits), schema), "partitions-queries")
+    held = {r["part"]: r["n"] for r in coded.groupBy("part").agg(F.count("*").alias("n")).collect()}  # as many as there are parts
+    sizes = np.array([held.get(p, 0) for p in range(fitted.parts)])
+    routed = _routed(router, visits, sizes, k + 1)  # the query itself is in one of them
+    asking = written(rows.where("is_query").select("vec_id", "embedding", "is_query", "node").mapInArrow(routed, schema), "partitions-queries")
     asks = asking.select("vec_id", "embedding", "is_query", "node", F.explode("parts").alias("part"))
-    sizes, asked = ({r["part"]: r["n"] for r in x.groupBy("part").agg(F.count("*").alias("n")).collect()} for x in (coded, asks))
-    row_blocks, query_blocks = _blocks(sizes | {p: 0 for p in asked if p not in sizes}, ROW_BLOCK), _blocks(asked | {p: 0 for p in sizes if p not in asked}, QUERY_BLOCK)
+    asked = {r["part"]: r["n"] for r in asks.groupBy("part").agg(F.count("*").alias("n")).collect()}
+    row_blocks, query_blocks = (_blocks(x, fitted.parts, size) for x, size in ((held, ROW_BLOCK), (asked, QUERY_BLOCK)))
     some = lambda blocks: F.array(F.pmod(F.xxhash64("node"), blocks))
     every = lambda blocks: F.sequence(F.lit(0).cast("long"), blocks - 1)
     columns = ["vec_id", "embedding", "node", "part"]
@@ -261,7 +285,7 @@ def _visits(coded: DataFrame, router: Router, k: int, target: float) -> int:
     if not trials.num_rows:
         return 1
     own = trials.column("node").to_numpy()
-    points = np.array(trials.column("embedding").to_pylist(), dtype=np.float64)
+    points = matrix(trials.column("embedding").combine_chunks()).astype(np.float64)
     near = coded.select("node", "embedding", "part").mapInArrow(_trial(spark.sparkContext.broadcast((own, points, k))), "query long, node long, part int, score double")
     true = _ranks(near.withColumn("vec_id", F.col("node")), "query", k).select("query", "part").toArrow()
     order = dict(zip(own.tolist(), router.order(points), strict=True))

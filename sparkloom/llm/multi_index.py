@@ -18,8 +18,12 @@ from pyspark.sql import functions as F
 from sparkloom.llm.common import bounded_batches, whole_groups, written
 from sparkloom.llm.components import connected_components, local_roots
 
-#: The codebooks are fitted to about so many vectors, taken by a hash; one codeword in a half for so many in its square.
-SAMPLE, PER_CELL, MOST_CODEWORDS = 20_000, 32, 512
+#: One codeword in a half for so many vectors in its square, so cells stay small as the table grows: up to two billion
+#: vectors of each length at MOST_CODEWORDS.
+PER_CELL, MOST_CODEWORDS = 32, 8192
+#: The codebooks are fitted to about so many vectors, taken by a hash: SAMPLE, or more for many codewords; never more
+#: than SAMPLE_BYTES of them.
+SAMPLE, PER_CODEWORD, SAMPLE_BYTES = 20_000, 8, 256 << 20
 #: Share of pairs at the threshold itself that are to meet; closer pairs meet more often.
 TARGET_RECALL = 0.995
 #: Clusters of the sample that count as regions; the sample's vectors that make a region or label large, and are tried of it.
@@ -46,7 +50,7 @@ def codebook(points: np.ndarray, size: int, rng: np.random.Generator, rounds: in
     """Centres of k-means over the sample."""
     centres = points[rng.choice(len(points), size, replace=False)]
     for _ in range(rounds):
-        own = squares(points, centres).argmin(axis=1)
+        own = closest(points, centres)
         n = np.bincount(own, minlength=size)
         sums = np.stack([np.bincount(own, points[:, d], minlength=size) for d in range(points.shape[1])], axis=1)
         centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
@@ -57,6 +61,19 @@ def squares(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return (points * points).sum(axis=1)[:, None] - 2 * points @ centres.T + (centres * centres).sum(axis=1)
 
 
+def closest(points: np.ndarray, centres: np.ndarray, rows: int = 2048) -> np.ndarray:
+    """The number of each point's nearest centre."""
+    return np.concatenate([squares(points[k : k + rows], centres).argmin(axis=1) for k in range(0, len(points), rows)])
+
+
+def least(distances: np.ndarray, n: int) -> np.ndarray:
+    """The numbers of the ``n`` least of each row, in order."""
+    if n < distances.shape[1] // 4:  # no need to sort all
+        first = np.sort(np.argpartition(distances, n - 1, axis=1)[:, :n], axis=1)
+        return np.take_along_axis(first, np.take_along_axis(distances, first, axis=1).argsort(axis=1, kind="stable"), axis=1)
+    return distances.argsort(axis=1, kind="stable")[:, :n]
+
+
 class Grid:
     """Two codebooks, and how many cells a vector visits."""
 
@@ -77,7 +94,7 @@ class Grid:
         return [squares(part, book) for part, book in zip(self._halves(vectors), self.books, strict=True)]
 
     def home(self, vectors: np.ndarray) -> np.ndarray:
-        first, second = (d.argmin(axis=1) for d in self._distances(vectors))
+        first, second = (closest(part, book) for part, book in zip(self._halves(vectors), self.books, strict=True))
         return first * self.codewords + second
 
     def nearest(self, vectors: np.ndarray, n: int | None = None) -> np.ndarray:
@@ -89,15 +106,15 @@ class Grid:
         rank = min(n, self.codewords)
         i, j = np.indices((rank, rank)).reshape(2, -1)
         i, j = i[(i + 1) * (j + 1) <= n], j[(i + 1) * (j + 1) <= n]
-        order, least = zip(*((o := d.argsort(axis=1)[:, :rank], np.take_along_axis(d, o, axis=1)) for d in self._distances(vectors)), strict=True)
-        total = least[0][:, i] + least[1][:, j]
+        order, near = zip(*((o := least(d, rank), np.take_along_axis(d, o, axis=1)) for d in self._distances(vectors)), strict=True)
+        total = near[0][:, i] + near[1][:, j]
         first = np.argsort(total, axis=1, kind="stable")[:, :n]
         return np.take_along_axis(order[0][:, i], first, axis=1) * self.codewords + np.take_along_axis(order[1][:, j], first, axis=1)
 
     @staticmethod
     def _groups(sample: np.ndarray, labels: np.ndarray | None, rng: np.random.Generator) -> list[np.ndarray]:
         """Trial vectors of all the sample, of each large region and of each large label; the sample is in random order."""
-        regions = squares(sample, codebook(sample, min(REGIONS, len(sample)), rng)).argmin(axis=1)
+        regions = closest(sample, codebook(sample, min(REGIONS, len(sample)), rng))
         kinds = [regions] if labels is None else [regions, labels]
         large = [at for kind in kinds for x in np.unique(kind) if len(at := np.flatnonzero(kind == x)) >= TRIALS]
         return [np.arange(min(2000, len(sample))), *(at[:TRIALS] for at in large)]
@@ -128,6 +145,8 @@ class Grid:
 
 def matrix(column: pa.Array) -> np.ndarray:
     """Vectors of one length as a matrix."""
+    if not len(column):
+        return np.zeros((0, 0))
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
@@ -145,17 +164,18 @@ def _coder(grids) -> Callable:
 
 
 def fitted_grids(vectors: DataFrame, threshold: float) -> dict[int, Grid]:
-    """A grid for each length of vectors, fitted to a sample of about SAMPLE of them."""
+    """A grid for each length of vectors, fitted to a bounded sample of them."""
     grids = {}
     for dim, n in ((r["dim"], r["n"]) for r in vectors.groupBy("dim").agg(F.count("*").alias("n")).collect()):
-        share = min(1.0, SAMPLE / n)
+        codewords = int(np.clip(np.sqrt(n / PER_CELL), 1, MOST_CODEWORDS))
+        size = max(1, min(max(SAMPLE, PER_CODEWORD * codewords), SAMPLE_BYTES // (8 * dim)))
+        share = min(1.0, size / n)
         rows = vectors.where((F.col("dim") == dim) & (F.pmod(F.xxhash64(F.lit("sample"), "embedding"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1))
-        taken = rows.select("embedding", "label").limit(2 * SAMPLE).toArrow()
-        sample = unit(np.array(taken.column(0).to_pylist()).reshape(-1, dim))
+        taken = rows.select("embedding", "label").limit(2 * size).toArrow()
+        sample = unit(matrix(taken.column(0).combine_chunks()).reshape(-1, dim))
         labels = taken.column(1).combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
         order = np.lexsort(sample.T[:4])
         sample, labels = sample[order], labels[order]
-        codewords = int(np.clip(np.sqrt(n / PER_CELL), 1, MOST_CODEWORDS))
         grids[dim] = Grid(sample, codewords, threshold, labels=labels)
     return grids
 
@@ -229,8 +249,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = 0.98, block: int =
 
     Vectors are compared if their labels are equal and not null and their lengths are equal. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing, and so do vectors without a label; each is its
-    own component. Equal vectors stand for one in the search and are all linked. Repeated rows each count. A null vec_id
-    is never the smallest unless alone. An empty table gives an empty table. Other columns are not read.
+    own component. Equal vectors stand for one in the search and are all linked; so ties and repeated rows each count. A
+    null vec_id is never the smallest unless alone. An empty table gives an empty table. Other columns are not read.
     """
     spark = embeddings.sparkSession
     rows = embeddings.select("vec_id", F.col("label"), F.col("embedding"), F.size("embedding").alias("dim"))

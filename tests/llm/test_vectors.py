@@ -120,6 +120,25 @@ def test_search_finds_the_nearest(spark, clashing, monkeypatch, rows_at_once, qu
     assert hits >= 0.9 * total
 
 
+def test_a_query_of_small_parts_goes_on_to_further_ones(spark, monkeypatch):
+    monkeypatch.setattr(learned_partitions, "PER_PART", 6)
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.standard_normal(6).tolist(), 0) for k in range(400)] + [(1000 + k, rng.standard_normal(3).tolist(), 0) for k in range(4)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    found = learned_partitions.search(df, df["vec_id"] % 20 == 0, 10, target=0.0).groupBy("query_id").count().collect()
+    assert {r["query_id"]: r["count"] for r in found} == {k: 10 for k in range(0, 400, 20)} | {1000: 3}
+
+
+def test_least_and_closest_are_those_of_a_full_sort():
+    rng = np.random.default_rng(6)
+    points, centres = rng.integers(0, 4, (500, 3)).astype(float), rng.integers(0, 4, (90, 3)).astype(float)
+    d = multi_index.squares(points, centres)
+    for n in (1, 2, 7, 22, 60, 90):
+        found = np.take_along_axis(d, multi_index.least(d, n), axis=1)
+        assert (found == np.sort(d, axis=1)[:, :n]).all()
+    assert (multi_index.closest(points, centres, rows=64) == d.argmin(axis=1)).all() and (multi_index.least(d, 1)[:, 0] == d.argmin(axis=1)).mean() > 0.5
+
+
 def test_ties_go_to_smaller_ids(spark):
     rows = [(100, [1.0, 0.0]), (9, [2.0, 0.0]), (3, [0.0, 0.0001]), (5, [2.0, 0.0]), (None, [2.0, 0.0]), (4, [1.0, 1.0]), (8, [0.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
