@@ -114,12 +114,17 @@ def _digest(path: str) -> Callable[[bytes], tuple[int, str, str]]:
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """``doc_id, n_tokens, ids_sha256, decoded_sha256`` of every document, encoded and decoded again.
 
-    The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8.
+    The digests are of the ids as little-endian unsigned 32-bit integers and of the decoded text in UTF-8. Null and empty
+    texts have no ids and the digests of nothing; texts of any length are encoded whole, equal ones alike. Repeated rows
+    and null doc_ids stay. An empty table gives an empty table. Other columns of ``docs`` are not read.
     """
     return _mapped(docs, path, ["doc_id"], _digest(path), _DIGESTS)
 
 
 def encoded_with_digests(docs: DataFrame, path: str, keep: list[str]) -> DataFrame:
-    """``keep``, the columns of :func:`digests`, and ``ids``."""
+    """``keep``, columns of ``docs``, then those of :func:`digests` and ``ids``; of ``keep`` none may have such a name.
+
+    Nulls, empty and long texts, repeated rows and empty tables are as there; ``docs`` may have other columns of any name.
+    """
     digest = _digest(path)
     return _mapped(docs, path, keep, lambda ids: (*digest(ids), np.frombuffer(ids, "<i4")), _DIGESTS | {"ids": ("array<int>", pa.list_(pa.int32()))})

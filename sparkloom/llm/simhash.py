@@ -199,8 +199,8 @@ def link_edges(distinct: DataFrame, limit: int = BUCKET) -> DataFrame:
 def near_duplicates(docs: DataFrame, limit: int = BUCKET) -> DataFrame:
     """``doc_id, fingerprint, component_id``, one row for each row of ``docs``.
 
-    Null, empty and blank texts have fingerprint zero and are linked like others. Repeated rows stay repeated. The
-    component is the smallest doc_id reachable over links; a null doc_id never is the smallest unless there is no other.
+    Null, empty and blank texts have fingerprint zero and are linked like others; texts of any length are read whole.
+    Repeated rows stay repeated, and so do ties: equal fingerprints are one node of the search. The component is the smallest doc_id reachable over links; a null doc_id never is the smallest unless there is no other.
     An empty table gives an empty table. Other columns of ``docs`` are not read.
     """
     rows = written(fingerprints(docs), "simhash")

@@ -47,8 +47,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, frequent_words:
 
     Each distinct word's pieces are counted once. The ``frequent_words`` most frequent words, a bounded table, are
     broadcast and joined within the task; a document's other words, each with its frequency, join the table of all words
-    by a shuffle, in which no word can be hot. Repeated rows each count; an empty table gives an empty table. Other
-    columns of ``docs`` are not read.
+    by a shuffle, in which no word can be hot. Texts of any length are counted whole. Repeated rows and null doc_ids each
+    count; an empty table gives an empty table. Other columns of ``docs`` are not read.
     """
     spark = docs.sparkSession
     words = distinct_word_pieces(docs, path)

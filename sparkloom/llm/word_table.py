@@ -6,6 +6,7 @@ a text's ids follow from its words, and Spark needs to encode each distinct word
 
 from __future__ import annotations
 
+import json
 import os
 from collections import Counter
 from collections.abc import Callable, Iterator
@@ -19,8 +20,10 @@ from tokenizers import Regex, Tokenizer, pre_tokenizers
 
 from sparkloom.llm.common import bounded_batches, text_bytes, written
 
-#: The split pattern of such tokenizer files.
+#: The split pattern, the normaliser and the pre-tokenizer of such tokenizer files.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+PRE_TOKENIZER = {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": WORD}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
 #: Texts of characters up to here, Latin letters and the punctuation below, are split by the pattern in Python; the
 #: library splits all others, so the two can't differ on rarer characters.
 PLAIN = regex.compile("[\\x21-\\x7e \t\n\r\\xa1-\\xac\\xae-\\u012f\\u0132-\\u0148\\u014a-\\u017e‐-‧]*")
@@ -31,10 +34,20 @@ FREQUENT_WORDS = 1 << 18
 
 
 class WordTokenizer:
-    """Splits texts into a tokenizer file's words and encodes words."""
+    """Splits texts into a tokenizer file's words and encodes words.
+
+    Words stand for themselves only if the file normalises and splits as is known here, and special tokens are taken from
+    the raw text; a file that does otherwise is refused.
+    """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        with open(path, encoding="utf-8") as f:
+            kind = json.load(f)
+        plain = [t["content"] for t in kind["added_tokens"] if not any(t[flag] for flag in ("single_word", "lstrip", "rstrip", "normalized"))]
+        known = kind["model"]["type"] == "BPE" and not kind["model"]["dropout"] and len(plain) == len(kind["added_tokens"]) and all(plain)
+        if not known or kind["normalizer"] != NORMALIZER or kind["pre_tokenizer"] != PRE_TOKENIZER or kind["decoder"]:
+            raise ValueError(f"{path} does not encode each word by itself in the way that is known here")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
@@ -43,11 +56,12 @@ class WordTokenizer:
         self._word = regex.compile(WORD).findall
         added = self.tokenizer.get_added_tokens_decoder()
         self.special = {token.content: i for i, token in added.items()}
+        self._start = os.path.commonprefix([*self.special])  # of all special tokens; a text without it has none
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if added else None
 
     def words(self, text: str) -> list[str]:
         """Words in order; a special token's string is a word of its own."""
-        if self._special and "<|" in text:
+        if self._special and self._start in text:
             parts = self._special(text)
             if len(parts) > 1:
                 return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self._plain_words(part))]

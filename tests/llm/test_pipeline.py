@@ -73,6 +73,45 @@ def test_run_gives_the_last_stages_rows(spark, stages):
     assert found.columns == stages[-1][1].columns and ids(found) == ids(stages[-1][1])
 
 
+ODD = ["`_mix_source`", "`_mix_plan`", "`_mix_copy`", "_gone", "kept", "row", "copies", "ticket", "target", "_score", "_row", "_source", "more", "_number", "_copy", "_kept", "cut"]
+
+
+def test_stages_take_odd_rows_and_columns(spark, tmp_path):
+    """Nulls in every column, empty and very long texts, repeated rows and columns named as the stages name their own."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    plain = " ".join(f"Some quiet words about garden number {k}." for k in range(40))
+    rows = [(k, f"Document {k} tells of {k * 7} rivers, and of the light over them in the morning.", "en", f"s{k % 3}", 70) for k in range(80)]
+    rows += [(None, None, None, None, None), (None, "", "en", None, 0), (200, None, "en", "s1", None), (200, "", None, "s1", 0), (201, plain * 1000, "en", "long", 1), (201, plain * 1000, "en", "long", 1)]
+    rows += [(300, plain, "en", "s0", 3)] * 4 + [(None, plain, "en", "s0", 3)] * 2 + [(7, "w" * 700_000, "en", "s2", 700_000)]
+    docs = spark.createDataFrame(rows, schema).selectExpr("*", *(f"{k} AS {c}" for k, c in enumerate(ODD)), "1 AS `a.b`", "2 AS `x y`")
+    sizes, names = [docs.count()], docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = corpus_pipeline.written(stage(spark, docs, SF), f"odd-{name}")
+        sizes.append(docs.count())
+        assert name == "bpe" or docs.columns == names
+        if name == "simhash":
+            texts = Counter(r["text"] or "" for r in docs.select("text").collect())
+            assert max(texts.values()) == 1 and set(texts) <= {r[1] or "" for r in rows}
+    assert sizes[0] >= sizes[1] >= sizes[2] >= sizes[3] > 0 and sizes[4] == sizes[5] > 0
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    made = {len(library.encode(r[1] or "", add_special_tokens=False).ids) for r in rows}
+    assert {r["n_tokens"] for r in docs.select("n_tokens").collect()} <= made
+
+
+def test_an_empty_corpus_stays_empty(spark, tmp_path):
+    for name in ("documents", "labels"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).collect() == []
+
+
+def test_run_leaves_only_its_result(spark):
+    from sparkloom.llm import common
+
+    common.clear(spark)
+    found = corpus_pipeline.run(spark, SF)
+    assert common._tables(spark) == [found._sparkloom_path] and found.count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_registered_queries_run_whole(spark, name):
     df = queries.QUERIES[name](spark, SF)

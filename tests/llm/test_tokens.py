@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import numpy as np
@@ -25,6 +26,22 @@ def ids(library, text):
     return library.encode(text or "", add_special_tokens=False).ids
 
 
+def test_a_file_of_another_kind_is_refused(tmp_path):
+    with pytest.raises(ValueError, match="word by itself"):
+        WordTokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    kind = json.load(open(PATH))
+    for change in ({"normalizer": None}, {"added_tokens": [kind["added_tokens"][0] | {"lstrip": True}]}):
+        (tmp_path / "t.json").write_text(json.dumps(kind | change))
+        with pytest.raises(ValueError, match="word by itself"):
+            WordTokenizer(str(tmp_path / "t.json"))
+    renamed = [kind["added_tokens"][0] | {"content": "[A]"}, kind["added_tokens"][1] | {"content": "##"}]
+    (tmp_path / "t.json").write_text(json.dumps(kind | {"added_tokens": renamed}))
+    words, own = WordTokenizer(str(tmp_path / "t.json")), Tokenizer.from_file(str(tmp_path / "t.json"))
+    for text in ("a [A]b ## c", "no special <|endoftext|>", "[a]#"):
+        found = [i for w in words.words(text) for i in ([words.special[w]] if w in words.special else words.encode_word(w))]
+        assert found == own.encode(text, add_special_tokens=False).ids
+
+
 def test_words_give_the_librarys_ids(library):
     words, rng = WordTokenizer(PATH), random.Random(4)
     pool = [chr(c) for c in range(0x250)] + list("abcdeABCDE '.!09 \n") * 12 + ["<|endoftext|>", "Σ", "ΑΣ ", "漢", "🙂", "ſ", "K", "é", "　", "'LL"]
