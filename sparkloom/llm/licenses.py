@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from itertools import groupby
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,21 +34,25 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
 def keywords(threshold: float, templates=TEMPLATES) -> list[str]:
     """Words of which every passage that can reach the threshold with a template holds at least one.
 
-    A passage that shares s of a template's n bigrams reaches it only if 2s >= threshold * (s + n), so it misses few. Of
-    each template words are taken until the bigrams without any of them are too few to reach it by themselves; those
-    that serve the most templates come first, common ones last.
+    A passage that shares s of a template's n bigrams reaches it only if 2s >= threshold * (s + n), so it misses few. Words
+    are taken until the bigrams without any of them are too few, for each template, to reach it by themselves: at each
+    step the one that brings most templates nearer to that, common and short ones last.
     """
-    words = [template_words(t) for _, t in templates]
-    serves = Counter(w for t in words for w in set(t))
-    chosen: set[str] = set()
-    for own in words:
-        n = len(own) - 1
-        left = lambda: sum(not {x, y} & chosen for x, y in zip(own, own[1:], strict=False))  # noqa: B023, E731
-        for w in sorted(set(own), key=lambda w: (w.isdigit(), w in COMMON, -serves[w] * (w not in COMMON), -len(w), w)):
-            if 2 * left() < threshold * (left() + n):
-                break
-            chosen.add(w)
-    return sorted(chosen)
+    left = [bigrams(template_words(t)) for _, t in templates]
+    size = [len(pairs) for pairs in left]
+    chosen: list[str] = []
+    while True:
+        open_ = [k for k, pairs in enumerate(left) if 2 * len(pairs) >= threshold * (len(pairs) + size[k])]
+        if not open_:
+            return sorted(chosen)
+        gain: Counter = Counter()
+        for k in open_:
+            need = len(left[k]) - size[k] * threshold / (2 - threshold)  # bigrams too many, at least
+            for w, n in Counter(w for pair in left[k] for w in set(pair.split())).items():
+                gain[w] += min(1.0, n / max(need, 1.0))
+        best = max(gain, key=lambda w: (not w.isdigit(), w not in COMMON, gain[w] * (1 if len(w) >= 5 else 0.2), w))
+        chosen.append(best)
+        left = [[pair for pair in pairs if best not in pair.split()] for pairs in left]
 
 
 def _items(words: list[str]) -> list[str]:
@@ -142,13 +147,15 @@ def scan(docs: DataFrame, threshold: float = THRESHOLD, templates=TEMPLATES) ->
 
 
 def _able(text: Column, words: list[str]) -> Column:
-    """Whether a text in small letters holds one of ``words``; short ones, which others hold too, only as whole words."""
-    short = [w for w in words if len(w) < 5]
-    found = F.rlike(text, F.lit(r"(?<![\p{L}\p{N}])(?:" + "|".join(short) + r")(?![\p{L}\p{N}])")) if short else F.lit(False)
-    for word in words:
-        if len(word) >= 5:
-            found = F.contains(text, F.lit(word)) | found
-    return F.coalesce(found, F.lit(False))
+    """Whether a text in small letters holds a word that begins with one of ``words``, or is it if that is short.
+
+    One expression that tries where a word begins, by its first letter; as many searches for one word each cost five times
+    as much.
+    """
+    ends = ((w, w if len(w) >= 5 else w + r"(?![\p{L}\p{N}])") for w in sorted(words))
+    firsts = {c: "|".join(w[1:] for _, w in group) for c, group in groupby(ends, key=lambda x: x[0][0])}
+    begun = "|".join(f"{c}(?:{rest})" for c, rest in firsts.items())
+    return F.coalesce(F.rlike(text, F.lit(f"(?<![a-z0-9])(?=[{''.join(firsts)}])(?:{begun})")), F.lit(False))
 
 
 def _numbered(pair: Column, n: Column) -> Column:
